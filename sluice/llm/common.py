@@ -193,3 +193,38 @@ def _long_text(text: bytes) -> np.ndarray:
         out.append(_hash_spans(buf, *spans(buf)))
         at = end
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def join_counted(rows: DataFrame, keyed: DataFrame, on: list[str], count: str, limit: int) -> DataFrame:
+    """Inner join of rows with keyed, which has each key once and its number of rows in ``count``.
+
+    Keys of over ``limit`` rows are broadcast, so their rows stay where they are; there are at most rows / limit of
+    them. The rest is joined by a shuffle, in which no key has more than ``limit`` rows.
+    """
+    hot = F.broadcast(keyed.where(F.col(count) > limit))
+    rest = rows.join(hot.select(*on), on, "left_anti").join(keyed.where(F.col(count) <= limit), on)
+    return rows.join(hot, on).unionByName(rest)
+
+
+def components(edges: DataFrame, scratch: Scratch, part: str) -> DataFrame:
+    """(node, label): the smallest node that each node of edges (u, v) is connected with.
+
+    Labels fall by hooking parents to the smallest neighbouring label and by pointer jumping, in a number of rounds
+    that grows with the logarithm of the longest path. Each round is written, so lineage stays short.
+    """
+    both = scratch.save(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("u <> v").distinct(), f"{part}-edges")
+    f = scratch.save(both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("u"), F.min("v")).alias("label")), f"{part}-0")
+    total, k = None, 0
+    while True:
+        now = f.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
+        if now == total:
+            return f
+        total, k = now, k + 1
+        near = both.join(f, both["v"] == f["node"]).groupBy("u").agg(F.min("label").alias("low"))
+        hooked = f.join(near, f["node"] == near["u"]).select("node", "label", "low")
+        least = hooked.select("node", F.least("label", "low").alias("label")).unionByName(hooked.select(F.col("label").alias("node"), F.col("low").alias("label")))
+        g = least.groupBy("node").agg(F.min("label").alias("label"))
+        h = g.select(F.col("node").alias("n2"), F.col("label").alias("l2"))
+        f = scratch.save(g.join(h, F.col("label") == F.col("n2"), "left").select("node", F.least("label", "l2").alias("label")), f"{part}-{k}")
+        if k > 1:
+            scratch.drop(f"{part}-{k - 2}")
