@@ -9,11 +9,16 @@ from pyspark.sql import functions as F
 from .common import Scratch, ascii_lower, partitions, table
 
 
+#: Characters of a text in the keys that splitters are sampled from.
+LEAD = 64
+
+
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, keep_id, group_size, kept, text_sha256 (of the normalised text).
 
-    Texts are sorted as bytes: sampled splitters deal (text, part) out by range, each range is sorted externally, and
-    the window compares neighbouring full texts. A text that holds over 1/(4 * partitions) of the rows, of which
+    Texts are sorted as bytes: sampled splitters deal (first LEAD characters, hash, part) out by range, so that the
+    sample stays small however long the texts; each range is sorted externally with the full text behind, and the
+    window compares neighbouring full texts. A text that holds over 1/(4 * partitions) of the rows, of which
     there are 4 * partitions at most, is cut into parts by doc_id first; the parts' heads, eight per partition at
     most, then meet by full comparison again.
 
@@ -30,8 +35,9 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     parts = spark.createDataFrame([(r[0], -(-r[1] // limit)) for r in heavy], "h long, n_parts long")
     rows = rows.join(F.broadcast(parts), "h", "left")
     part = F.when(F.col("n_parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(F.lit(3), "doc_id"), "n_parts") + 1)
-    placed = rows.select("doc_id", "norm", part.alias("part")).repartitionByRange(p, "norm", "part")
-    w = W.partitionBy("norm", "part").orderBy(F.desc_nulls_last("doc_id"))
+    lead = F.substring("norm", 1, LEAD)
+    placed = rows.select("doc_id", "norm", "h", lead.alias("lead"), part.alias("part")).repartitionByRange(p, "lead", "h", "part")
+    w = W.partitionBy("lead", "h", "norm", "part").orderBy(F.desc_nulls_last("doc_id"))
     whole = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     local = placed.select(
         "doc_id", "part", F.row_number().over(w).alias("rn"), F.max("doc_id").over(whole).alias("keep_id"),
