@@ -26,8 +26,10 @@ WORDS = 5
 KEY_BITS = 40
 BITMAP = 2048
 _LOW = np.uint64(0xFFFFFFFFFFFFFFFF >> 4)
-BLOBS = "part int, block int, keys binary, counts binary"
-FOUND = "kind int, block int, sid long, doc_id long, n int, s1 long, s2 long, h long, pos int, body binary, bits binary"
+#: A block ends with the document that takes it to so many elements, or rows.
+BLOCK_ELEMENTS, BLOCK_ROWS = 1_500_000, 1 << 19
+BLOBS = "part int, block long, keys binary, counts binary"
+FOUND = "kind int, block long, sid long, doc_id long, n int, s1 long, s2 long, h long, pos int, body binary, bits binary"
 NAMES = [x.split()[0] for x in FOUND.split(", ")]
 
 
@@ -93,28 +95,43 @@ def expand(data: bytes, kind: str) -> np.ndarray:
 
 
 class Block:
-    """The documents that one task reads: their distinct sets, and the running fingerprint of all."""
+    """Some of the documents that one task reads: their distinct sets, and the running fingerprint of all."""
 
     def __init__(self, number: int) -> None:
-        self.number, self.names, self.rows, self.mark = number, {}, 0, 0
+        self.number, self.names, self.rows, self.elements, self.mark = number, set(), 0, 0, 0
 
-    def read(self, batch: pa.RecordBatch) -> Iterator[tuple[int | None, int, np.ndarray, tuple[int, int], bool]]:
-        """doc_id, sid, set, identity, and whether the set is new to the block; sid is the row's number anywhere."""
-        texts = [b"" if t is None else t for t in batch.column(1).to_pylist()]
-        for doc_id, values in zip(batch.column(0).to_pylist(), shingle_sets(texts)):
-            name = identity(values)
-            self.mark = (self.mark * 31 + name[0] + len(values)) % (1 << 61)
-            new = len(values) > 0 and (name, len(values)) not in self.names
-            if new:
-                self.names[(name, len(values))] = True
-            yield doc_id, self.number << 32 | self.rows, values, name, new
-            self.rows += 1
+    @property
+    def full(self) -> bool:
+        return self.elements >= BLOCK_ELEMENTS or self.rows >= BLOCK_ROWS
 
-
-def block_number() -> int:
+    def take(self, doc_id: int | None, values: np.ndarray) -> tuple[int | None, int, np.ndarray, tuple[int, int], bool]:
+        """doc_id, sid, set, identity, and whether the set is new to the block; sid is the row's number anywhere."""
+        name = identity(values)
+        self.mark = (self.mark * 31 + name[0] + len(values)) % (1 << 61)
+        new = len(values) > 0 and (*name, len(values)) not in self.names
+        if new:
+            self.names.add((*name, len(values)))
+        self.rows += 1
+        self.elements += len(values)
+        return doc_id, self.number << 20 | self.rows - 1, values, name, new
+
+
+def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Block, list, bool]]:
+    """The task's documents block by block: the block, some of its documents, and whether they are the last of it."""
     from pyspark import TaskContext
 
-    return TaskContext.get().partitionId()
+    number = TaskContext.get().partitionId() << 16
+    block = Block(number)
+    for batch in batches:
+        texts = [b"" if t is None else t for t in batch.column(1).to_pylist()]
+        some = []
+        for doc_id, values in zip(batch.column(0).to_pylist(), shingle_sets(texts)):
+            some.append(block.take(doc_id, values))
+            if block.full:
+                yield block, some, True
+                block, some = Block(block.number + 1), []
+        yield block, some, False
+    yield block, [], True
 
 
 # --- frequencies ---------------------------------------------------------------------------------
@@ -131,35 +148,19 @@ def send_keys(docs: DataFrame, parts: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, held, size = Block(block_number()), [], 0
-        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-
-        def merge() -> None:
-            nonlocal keys, counts, held, size
-            new, n = np.unique(np.concatenate(held), return_counts=True)
-            if len(keys):
-                both, where = np.unique(np.concatenate([keys, new]), return_inverse=True)
-                counts, keys = np.bincount(where, np.concatenate([counts, n]), len(both)).astype(np.int64), both
-            else:
-                keys, counts = new, n
-            held, size = [], 0
-
-        for b in batches:
-            for _, _, values, _, new in block.read(b):
-                if new:
-                    held.append(key_of(values))
-                    size += len(values)
-                    if size > 4_000_000:
-                        merge()
-        if held:
-            merge()
-        cuts = np.searchsorted(keys, (np.arange(parts + 1, dtype=np.float64) * (2.0**KEY_BITS / parts)).astype(np.uint64))
-        some = [p for p in range(parts) if cuts[p] < cuts[p + 1]]
-        rows = [(p, block.number, squeeze_keys(keys[cuts[p] : cuts[p + 1]]), squeeze(np.minimum(counts[cuts[p] : cuts[p + 1]], 255).astype(np.uint8))) for p in some]
-        rows.append((-1, block.number, f"{block.rows}:{block.mark}".encode(), b""))
-        for at in range(0, len(rows), 64):
-            cols = list(zip(*rows[at : at + 64]))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())], ["part", "block", "keys", "counts"])
+        edges = (np.arange(parts + 1, dtype=np.float64) * (2.0**KEY_BITS / parts)).astype(np.uint64)
+        held: list[np.ndarray] = []
+        for block, some, last in walk(batches):
+            held += [key_of(values) for _, _, values, _, new in some if new]
+            if not last:
+                continue
+            keys, counts = np.unique(np.concatenate([*held, np.zeros(0, np.uint64)]), return_counts=True)
+            held, cuts = [], np.searchsorted(keys, edges)
+            rows = [(p, block.number, squeeze_keys(keys[i:j]), squeeze(np.minimum(counts[i:j], 255).astype(np.uint8))) for p, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])) if i < j]
+            rows.append((-1, block.number, f"{block.rows}:{block.mark}".encode(), b""))
+            for at in range(0, len(rows), 64):
+                cols = zip(*rows[at : at + 64])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["part", "block", "keys", "counts"])
 
     return docs.mapInArrow(run, BLOBS)
 
@@ -214,15 +215,22 @@ def bitmap(values: np.ndarray) -> bytes:
     return np.packbits(bits).tobytes()
 
 
+def _found(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], NAMES)
+
+
 def index(docs: DataFrame, root: str, percent: int) -> DataFrame:
     """Rows of three kinds: 0 documents, 1 postings of prefix elements that several sets hold, 2 sets with postings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = Block(block_number())
-        keys, levels, mark = replies(root, block.number)
-        for b in batches:
+        known, keys, levels, mark = -1, None, None, ""
+        for block, some, last in walk(batches):
+            if block.number != known:
+                known = block.number
+                keys, levels, mark = replies(root, known)
             rows: list[tuple] = []
-            for doc_id, sid, values, name, new in block.read(b):
+            for doc_id, sid, values, name, new in some:
                 n = len(values)
                 rows.append((0, block.number, sid, doc_id, n, *name, None, None, None, None))
                 if not new or not len(keys):
@@ -236,11 +244,13 @@ def index(docs: DataFrame, root: str, percent: int) -> DataFrame:
                     h = values[ranked[there]].astype(np.int64).tolist()
                     rows += [(1, block.number, sid, None, n, None, None, x, p, None, None) for x, p in zip(h, there.tolist())]
                     rows.append((2, block.number, sid, None, n, None, None, None, None, values.tobytes(), bitmap(values)))
-            cols = list(zip(*rows)) if rows else [()] * len(NAMES)
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], NAMES)
-        if mark and mark != f"{block.rows}:{block.mark}":
-            raise ValueError("a task read other documents than before; write the table first")
+                if len(rows) >= 20_000:
+                    yield _found(rows)
+                    rows = []
+            if rows:
+                yield _found(rows)
+            if last and mark != (f"{block.rows}:{block.mark}" if block.rows or mark else ""):
+                raise ValueError("a task read other documents than before; write the table first")
 
     return docs.mapInArrow(run, FOUND)
 
