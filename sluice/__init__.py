@@ -1,0 +1 @@
+"""sluice: stream-style SQL over tables and streams, on PySpark."""

@@ -1,6 +1,240 @@
-"""Named queries over the driver's tables, with their oracle SQL."""
+"""Named queries over the driver's tables, with their oracle SQL.
+
+Most are texts of the dialect; ``ORDER`` and ``TIME`` say how each table's rows arrive. Sums of doubles are rounded, as
+their last digits depend on the order of addition.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .operators import grouping, merging
+from .session import Engine
+
+ORDER = {
+    "events": ["ts", "event_id"], "orders": ["o_orderkey"], "customer": ["c_custkey"], "supplier": ["s_suppkey"], "nation": ["n_nationkey"], "region": ["r_regionkey"], "part": ["p_partkey"],
+    "lineitem": ["l_orderkey", "l_linenumber"], "documents": ["doc_id"], "pages": ["page_id"], "labels": ["doc_id"], "embeddings": ["vec_id"], "benchmark": ["item_id"], "conversations": ["conv_id", "turn"],
+}
+TIME = {"events": "ts", "orders": "o_orderdate", "lineitem": "l_shipdate"}
+
+
+class Tables(dict):
+    """The tables of a folder, opened when a query names them."""
+
+    def __init__(self, engine: Engine, sf_dir: str) -> None:
+        super().__init__()
+        self.engine, self.sf_dir = engine, sf_dir
+
+    def __contains__(self, name: object) -> bool:
+        return super().__contains__(name) or name in ORDER
+
+    def __missing__(self, name: str):
+        from .plans.lowering import Result
+
+        self[name] = Result(self.engine.spark.read.parquet(f"{self.sf_dir}/{name}.parquet"), ORDER[name], TIME.get(name))
+        return self[name]
+
+
+def engine(spark: SparkSession, sf_dir: str) -> Engine:
+    e = Engine(spark)
+    e.tables = Tables(e, sf_dir)
+    return e
+
+
+def dialect(text: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: engine(spark, sf_dir).sql(text)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+
+def add(name: str, text: str, oracle: str | None = None) -> None:
+    """oracle: None if the text is plain SQL itself, '' if SQL can't express the query."""
+    QUERIES[name] = dialect(text)
+    if oracle != "":
+        ORACLE[name] = text if oracle is None else oracle
+
+
+# --- scans, projections, predicates --------------------------------------------------------------
+add("group_having", "select event_type, count(1) total, round(avg(value), 6) avg_value from events where value > 100 group by event_type having total > 10",
+    "select event_type, count(1) total, floor(avg(value) * 1e6 + 0.5) / 1e6 avg_value from events where value > 100 group by event_type having count(1) > 10")
+add("scan_where_project", "select event_id, user_id, value * 2 twice from events where value > 50 and event_type = 'click'")
+add("star_alias", "select n.*, r.r_name region_name from nation n left join region r on n.n_regionkey = r.r_regionkey")
+add("predicate_mix", "select count(1) c from events where (value >= 10 and value < 90 or event_type in ('click', 'view')) and not (user_id = 7) and event_type != 'error'")
+add("null_compare", "select count(1) c from (select event_id, case when event_type = 'error' then null else event_type end et from events) x where not (et = 'click')",
+    "select count(1) c from events where event_type = 'error' or event_type <> 'click'")
+add("not_in_compat", "select count(1) c from (select case when event_type = 'error' then null else event_type end et from events) x where et not in ('click', 'view')",
+    "select count(1) c from events where event_type not in ('click', 'view')")
+add("loose_compare", "select count(1) c from (select value l, '' r from events) x where l > r", "select cast(0 as bigint) c")
+add("like_compat", "select c_custkey, c_name from customer where c_name like 'Customer%1' or c_mktsegment not like '%U%'")
+add("between_compat", "select event_id from events where value between 20 and 30 or event_type between 'view' and 'signup'",
+    "select event_id from events where value between 20 and 30 or event_type between 'signup' and 'view'")
+add("is_predicates", "select count(1) c from (select case when value > 100 then true when value > 50 then false end f from events) x where f is not true or f is null",
+    "select count(1) c from events where value <= 100")
+add("truthiness", "select doc_id from labels where toxic and quality is not null", "select doc_id from labels where toxic = 1")
+add("case_searched", "select event_id, case when value > 100 then 'high' when value > 50 then 'mid' else 'low' end band from events")
+add("case_simple", "select event_id, case event_type when 'click' then 1 when 'view' then 2 else 0 end code from events",
+    "select event_id, cast(case event_type when 'click' then 1 when 'view' then 2 else 0 end as bigint) code from events")
+add("property_paths", "select event_id, cast(props.k as int) k, row.index i from events", "select event_id, cast(json_extract_string(props, '$.k') as int) k, row_number() over (order by ts, event_id) i from events")
+add("array_index", "select vec_id, embedding[0] a, embedding.size n from embeddings", "select vec_id, embedding[1] a, cast(len(embedding) as bigint) n from embeddings")
+add("row_index_elapsed", "select event_id, row.index i, row.elapsed ms from events",
+    "select event_id, row_number() over (order by ts, event_id) i, epoch_us(ts) // 1000 - lag(epoch_us(ts) // 1000) over (order by ts, event_id) ms from events")
+# --- distinct, sort, limit, set operations ---------------------------------------------------------
+add("distinct_input_row", "select distinct n_regionkey from nation", "select n_regionkey from nation")
+add("distinct_on", "select distinct on (user_id) user_id, event_id from events",
+    "select user_id, event_id from (select *, row_number() over (partition by user_id order by ts, event_id) rn from events) where rn = 1")
+add("order_nulls", "select event_id, case when event_type = 'error' then null else value end v from events order by v desc nulls last, event_id limit 40",
+    "select event_id, case when event_type = 'error' then null else value end v from events order by v desc nulls last, event_id limit 40")
+add("topn_offset", "select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 5, 20", "select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 20 offset 5")
+add("union", "select v from (select n_nationkey v from nation union select r_regionkey v from region) x", "select n_nationkey v from nation union select r_regionkey from region")
+add("union_all", "select v from (select n_nationkey v from nation union all select r_regionkey v from region) x", "select n_nationkey v from nation union all select r_regionkey from region")
+add("minus", "select v from (select s_nationkey v from supplier minus select r_regionkey v from region) x", "select s_nationkey v from supplier except select r_regionkey from region")
+add("except_compat", "select v from (select r_regionkey v from region except select n_nationkey v from nation) x", "select n_nationkey v from nation except select r_regionkey from region")
+add("intersect", "select v from (select s_nationkey v from supplier intersect select c_nationkey v from customer) x", "select s_nationkey v from supplier intersect select c_nationkey from customer")
+add("values_source", "select sum(t.a + t.b) s from (values (1,2,3),(1,2,3)) t(a,b,c)", "select cast(6 as double) s")
+# --- joins and sub-queries -------------------------------------------------------------------------
+add("join_inner", "select o.o_orderkey, c.c_name from orders o join customer c on o.o_custkey = c.c_custkey where o.o_totalprice > 1000", "select o_orderkey \"o.o_orderkey\", c_name \"c.c_name\" from orders join customer on o_custkey = c_custkey where o_totalprice > 1000")
+add("join_comma", "select count(1) c from supplier s, nation n where s.s_nationkey = n.n_nationkey and n.n_regionkey = 1", "select count(1) c from supplier, nation where s_nationkey = n_nationkey and n_regionkey = 1")
+add("join_left", "select c.c_custkey k, count(o.o_orderkey) n from customer c left join orders o on c.c_custkey = o.o_custkey group by c.c_custkey",
+    "select c_custkey k, count(o_orderkey) n from customer left join orders on c_custkey = o_custkey group by c_custkey")
+add("join_right_compat", "select n.n_nationkey nk, r.r_regionkey rk from nation n right join region r on n.n_regionkey = r.r_regionkey",
+    "select case when n_regionkey = r_regionkey then n_nationkey end nk, r_regionkey rk from nation, region")
+add("join_right_ansi", "/*+ mode(ansi) */ select n.n_nationkey nk, r.r_regionkey rk from nation n right join region r on n.n_regionkey = r.r_regionkey and n.n_nationkey > 12",
+    "select n_nationkey nk, r_regionkey rk from nation right join region on n_regionkey = r_regionkey and n_nationkey > 12")
+add("join_cross", "select count(1) c from nation cross join region")
+add("join_theta", "select s.s_suppkey k, count(1) c from supplier s join nation n on s.s_nationkey < n.n_nationkey group by s.s_suppkey",
+    "select s_suppkey k, count(1) c from supplier join nation on s_nationkey < n_nationkey group by s_suppkey")
+add("join_lateral", "select n.n_nationkey nk, x.k from nation n left join (select s.s_suppkey k from supplier s where s.s_nationkey = n.n_nationkey and s.s_acctbal > 0) x",
+    "select n_nationkey nk, s_suppkey \"x.k\" from nation left join supplier on s_nationkey = n_nationkey and s_acctbal > 0")
+add("exists", "select c_custkey from customer where exists (select 1 from orders o where o.o_custkey = customer.c_custkey and o.o_totalprice > 1000)",
+    "select c_custkey from customer where exists (select 1 from orders o where o.o_custkey = c_custkey and o.o_totalprice > 1000)")
+add("not_exists", "select c_custkey from customer where not exists (select 1 from orders o where o.o_custkey = customer.c_custkey)",
+    "select c_custkey from customer where not exists (select 1 from orders o where o.o_custkey = c_custkey)")
+add("in_subquery", "select c_custkey from customer where c_nationkey in (select n_nationkey from nation where n_regionkey = 2)")
+add("not_in_subquery", "select c_custkey from customer where c_nationkey not in (select n_nationkey from nation where n_regionkey = 2)")
+add("scalar_subquery", "select count(1) c from orders where o_totalprice > (select avg(o_totalprice) a from orders)", "select count(1) c from orders where o_totalprice > (select avg(o_totalprice) a from orders)")
+# --- grouping and aggregates -----------------------------------------------------------------------
+add("group_two_keys", "select o_orderstatus, o_orderpriority, count(1) c, max(o_totalprice) hi, min(o_totalprice) lo from orders group by o_orderstatus, o_orderpriority")
+add("group_expr_int_div", "select count(1) c, min(event_id / 100) b from events group by event_id / 100", "select count(1) c, event_id // 100 b from events group by event_id // 100")
+add("group_by_function", "select date_format(o_orderdate, 'yyyy-MM') m, count(1) c from orders group by date_format(o_orderdate, 'yyyy-MM')", "select strftime(o_orderdate, '%Y-%m') m, count(1) c from orders group by 1")
+add("group_null_key", "select count(1) c from (select case when event_type = 'error' then null else event_type end et from events) x group by et",
+    "select count(1) c, event_type et from events where event_type <> 'error' group by event_type")
+add("group_key_list", "select count(1) c, _group_by_key[0] k from events group by event_type", "select count(1) c, event_type k, event_type from events group by event_type")
+add("agg_distinct_count", "select event_type, count(distinct user_id) d, distinct_count(user_id) e from events group by event_type", "select event_type, count(distinct user_id) d, count(distinct user_id) e from events group by event_type")
+add("agg_unique_count", "select event_type, count(unique user_id) u from events group by event_type",
+    "select event_type, cast(count(*) filter (where n = 1) as bigint) u from (select event_type, user_id, count(*) n from events group by all) group by event_type")
+add("agg_unique_avg", "select avg(unique user_id) a, sum(distinct user_id) s from events where event_id < 200",
+    "select avg(user_id) filter (where n = 1) a, cast(sum(user_id) as double) s from (select user_id, count(*) n from events where event_id < 200 group by all)")
+add("agg_sum_double", "select sum(l_linenumber) s, count(*) c, count(l_partkey) p from lineitem", "select cast(sum(l_linenumber) as double) s, count(*) c, count(l_partkey) p from lineitem")
+add("pricing_summary", "select l_returnflag, l_linestatus, sum(l_quantity) q, round(sum(l_extendedprice * (1 - l_discount)), 0) rev, count(1) c from lineitem where l_shipdate <= {ts '1998-09-02 00:00:00'} group by l_returnflag, l_linestatus",
+    "select l_returnflag, l_linestatus, sum(l_quantity) q, floor(sum(l_extendedprice * (1 - l_discount)) + 0.5) rev, count(1) c from lineitem where l_shipdate <= timestamp '1998-09-02' group by 1, 2")
+add("last_row_per_group", "select user_id, event_id, value from events group by user_id", "select user_id, event_id, value from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) rn from events) where rn = 1")
+add("mixed_items", "select event_type, count(1) c, event_id last_id from events group by event_type", "select event_type, count(1) c, arg_max(event_id, (ts, event_id)) last_id from events group by event_type")
+add("take_first_n", "select take(event_id, 2) e from events group by user_id", "select event_id e, user_id from (select *, row_number() over (partition by user_id order by ts, event_id) rn from events) where rn <= 2")
+add("take_last_n", "select take(event_id, -2) e from events group by user_id", "select event_id e, user_id from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) rn from events) where rn <= 2")
+add("take_first_then_last", "select take(event_id, 3, -2) e from events group by user_id",
+    "select event_id e, user_id from (select *, row_number() over (partition by user_id order by rn desc) r2 from (select *, row_number() over (partition by user_id order by ts, event_id) rn from events) where rn <= 3) where r2 <= 2")
+add("group_take", "select event_id, user_id from events group by user_id, take(1)", "select event_id, user_id from (select *, row_number() over (partition by user_id order by ts, event_id) rn from events) where rn = 1")
+add("collect_list_size", "select event_type, array_len(collect_list(event_id)) n from events group by event_type", "select event_type, count(1) n from events group by event_type")
+add("collect_list_struct", "select event_type, collect_list(event_id, user_id) l from events where event_id < 50 group by event_type", "")
+add("collect_row_map", "select event_type, collect_row(user_id, value) m from events where event_id < 200 group by event_type", "")
+# --- windows ---------------------------------------------------------------------------------------
+add("tumbling_time", "select to_millis(_window_start) w, count(1) c from events group by _window('6h')", "select epoch_ms(time_bucket(interval '6 hours', ts, timestamp '1970-01-01')) w, count(1) c from events group by 1")
+add("interval_by_key", "select to_millis(_window_start) w, event_type, count(1) c from events group by interval('1d'), event_type", "select epoch_ms(date_trunc('day', ts)) w, event_type, count(1) c from events group by 1, 2")
+add("sliding_time", "select to_millis(_window_start) w, count(1) c from events group by _window('1d', '12h')",
+    "select epoch_ms(w) w, count(1) c from (select time_bucket(interval '12 hours', ts, timestamp '1970-01-01') - k * interval '12 hours' w from events, range(2) r(k)) group by 1")
+add("tumbling_count", "select _window_start w, count(1) c, sum(event_id) s from events group by _window(64)",
+    "select w, count(1) c, cast(sum(event_id) as double) s from (select event_id, (row_number() over (order by ts, event_id) - 1) // 64 w from events) group by w")
+add("sliding_count", "select _window_start w, sum(event_id) s from events group by _window(30, 10)",
+    "select w, cast(sum(event_id) as double) s from (select event_id, unnest(range(greatest(0, cast(ceil((i - 29) / 10) as bigint)), i // 10 + 1)) w from (select event_id, row_number() over (order by ts, event_id) - 1 i from events)) group by w")
+add("count_window_by_key", "select event_type, _window_start w, count(1) c from events group by event_type, _window(50)",
+    "select event_type, w, count(1) c from (select event_type, (row_number() over (partition by event_type order by ts, event_id) - 1) // 50 w from events) group by all")
+add("count_or_timeout", "select user_id, _window_start w, count(1) c from events group by user_id, _window(5, '2d')", "")
+add("trace_in_group", "select event_id, row.index i from events group by _window(50), trace(), take(1)", "")
+# --- several sources -------------------------------------------------------------------------------
+add("zip_two", "select a.event_id x, b.o_orderkey y from zip((select event_id, ts from events) a, (select o_orderkey from orders) b) z",
+    "select event_id x, o_orderkey y from (select event_id, row_number() over (order by event_id) i from events) join (select o_orderkey, row_number() over (order by o_orderkey) i from orders) using (i)")
+add("combine_latest", "select a.event_id x, b.event_id y from combine((select event_id, ts from events where event_type = 'click') a, (select event_id, ts from events where event_type = 'view') b) c",
+    "select x, y from (select last_value(x ignore nulls) over w x, last_value(y ignore nulls) over w y from (select ts, 0 s, event_id x, null y from events where event_type = 'click' union all select ts, 1, null, event_id from events where event_type = 'view') window w as (order by ts, s rows between unbounded preceding and current row)) where x is not null and y is not null")
+_A, _B = "(select o_custkey k, count(1) a from orders where o_orderstatus = 'F' group by o_custkey) x", "(select c_custkey k, c_acctbal b from customer where c_acctbal > 0) y"
+_SA, _SB = "(select o_custkey k, count(1) a from orders where o_orderstatus = 'F' group by o_custkey)", "(select c_custkey k, c_acctbal b from customer where c_acctbal > 0)"
+for _mode, _how in (("full", "full"), ("inner", "inner"), ("left", "left"), ("right", "right")):
+    add(f"merge_{_mode}", f"select k, a, b from merge_by_key('k', (select k, a from {_A}) x, (select k, b from {_B}) y, '{_mode}')", f"select k, a, b from {_SA} {_how} join {_SB} using (k)")
+add("merge_dup_zip", "select k, a, b from merge_by_key('k', (select n_regionkey k, n_nationkey a from nation) x, (select s_nationkey k, s_suppkey b from supplier) y, 'full', 'zip')",
+    "select k, a, b from (select n_regionkey k, n_nationkey a, row_number() over (partition by n_regionkey order by n_nationkey) r from nation) full join (select s_nationkey k, s_suppkey b, row_number() over (partition by s_nationkey order by s_suppkey) r from supplier) using (k, r)")
+add("merge_dup_cartesian", "select k, a, b from merge_by_key('k', (select n_regionkey k, n_nationkey a from nation) x, (select s_nationkey k, s_suppkey b from supplier) y, 'inner', 'cartesian')",
+    "select n_regionkey k, n_nationkey a, s_suppkey b from nation join supplier on n_regionkey = s_nationkey")
+add("merge_dup_array", "select k, array_len(x) nx, array_len(y) ny from merge_by_key('k', (select n_regionkey k, n_nationkey a from nation) x, (select s_nationkey k, s_suppkey b from supplier) y, 'full', 'array')",
+    "select k, coalesce(nx, 0) nx, coalesce(ny, 0) ny from (select n_regionkey k, count(1) nx from nation group by 1) full join (select s_nationkey k, count(1) ny from supplier group by 1) using (k)")
+add("unnest_embedding", "select vec_id, unnest(embedding) x from embeddings where vec_id < 50")
+add("unnest_multi", "select u.c c, u.d d from unnest(array[1, 2, 3], array['x', 'y']) as u(c, d)", "select unnest([1, 2, 3])::bigint c, unnest(['x', 'y', null]) d")
+add("lateral_unnest", "select e.vec_id v, u.x x from embeddings e cross join unnest(e.embedding) as u(x) where e.vec_id < 20", "select vec_id v, unnest(embedding) x from embeddings where vec_id < 20")
+# --- functions -------------------------------------------------------------------------------------
+add("math_functions", "select event_id, round(math.log(value + 1), 6) a, floor(value) b, ceil(value) c, round(value) d, round(pow(value, 2), 3) e, math.max(value, 50, event_id) f, greatest(value, 10.5) g, value % 7 h from events",
+    "select event_id, floor(ln(value + 1) * 1e6 + 0.5) / 1e6 a, floor(value) b, ceil(value) c, cast(floor(value + 0.5) as bigint) d, floor(value * value * 1e3 + 0.5) / 1e3 e, greatest(value, 50.0, event_id)::double f, greatest(value, 10.5::double) g, value % 7 h from events")
+add("int_arithmetic", "select event_id / 7 q, event_id % 7 r, event_id * 3 - 1 t, 7.0 / 2 x from events", "select event_id // 7 q, event_id % 7 r, event_id * 3 - 1 t, 3.5::double x from events")
+add("bit_functions", "select event_id & 12 a, event_id | 3 b, event_id ^ 5 c, event_id << 2 d, event_id >> 1 e, ~event_id f, bit_count(event_id) g from events",
+    "select event_id & 12 a, event_id | 3 b, xor(event_id, 5) c, event_id << 2 d, event_id >> 1 e, ~event_id f, cast(bit_count(event_id) as bigint) g from events")
+add("string_functions", "select p_partkey, upper(p_name) a, length(p_name) b, concat(p_brand, null, '-', p_type) c, concat_ws('/', p_brand, p_type) d, left(p_name, 3) e, right(p_name, 2) f, lpad(p_brand, 12, '*') g, reverse(p_type) h, strpos(p_name, 'a') i, replace(p_name, 'a', 'b') j, contains(p_name, 'e') k from part",
+    "select p_partkey, upper(p_name) a, length(p_name) b, p_brand || '-' || p_type c, p_brand || '/' || p_type d, left(p_name, 3) e, right(p_name, 2) f, lpad(p_brand, 12, '*') g, reverse(p_type) h, instr(p_name, 'a') i, replace(p_name, 'a', 'b') j, contains(p_name, 'e') k from part")
+add("substr_zero_based", "select c_custkey, substr(c_name, 2) a, substr(c_name, -3) b, substring(c_name, 2, 3) c, substring(c_name, 0) d, substr(c_name, 1, 2) e from customer",
+    "select c_custkey, c_name[3:] a, right(c_name, 3) b, c_name[2:4] c, '' d, c_name[2:3] e from customer")
+add("split_part_edges", "select page_id, split_part(url, '/', 3) host, split_part(url, '/', -1) last, split_part(url, '/', 0) zero, split_part(url, '/', 99) none from pages",
+    "select page_id, split_part(url, '/', 3) host, split_part(url, '/', -1) last, '' zero, '' none from pages")
+add("regex_functions", "select page_id, regexp_extract(url, 'http://([a-z]+)') a, regexp_replace(url, '[0-9]+', '#') b, regexp_like(url, 'EXAMPLE', 'i') c, regexp_extract(url, 'zzz') d from pages",
+    "select page_id, nullif(regexp_extract(url, 'http://([a-z]+)', 1), '') a, regexp_replace(url, '[0-9]+', '#', 'g') b, regexp_matches(url, '(?i)EXAMPLE') c, null::varchar d from pages")
+add("date_functions", "select o_orderkey, year(o_orderdate) y, month(o_orderdate) m, day_of_week(o_orderdate) w, day_of_year(o_orderdate) d, date_format(o_orderdate, 'yyyy/MM/dd') f, unix_timestamp(o_orderdate) u, date_part('quarter', o_orderdate) q, to_iso_instant(o_orderdate) i from orders",
+    "select o_orderkey, cast(year(o_orderdate) as int) y, cast(month(o_orderdate) as int) m, cast(isodow(o_orderdate) as int) w, cast(dayofyear(o_orderdate) as int) d, strftime(o_orderdate, '%Y/%m/%d') f, cast(epoch(o_orderdate) as bigint) u, quarter(o_orderdate) q, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') i from orders")
+add("date_trunc_units", "select event_id, to_millis(date_trunc('hour', ts)) h, to_millis(date_trunc('week', ts)) w, to_millis(time_bucket('15 minutes', ts)) b from events",
+    "select event_id, epoch_ms(date_trunc('hour', ts)) h, epoch_ms(date_trunc('week', ts)) w, epoch_us(ts) // 1000 - epoch_us(ts) // 1000 % 900000 b from events")
+add("datediff_periods", "select event_id, datediff(ts, '2024-01-01 12:00:00') d, date_diff(ts, '2024-01-01', 'hour') h, to_millis(date_add(ts, 2, 'month')) m from events",
+    "select event_id, datesub('day', timestamp '2024-01-01 12:00:00', ts) d, datesub('hour', timestamp '2024-01-01', ts) h, epoch_us(ts + interval '2 months') // 1000 m from events")
+add("cast_matrix", "select event_id, cast(value as int) i, cast(value as string) s, cast('100.2' as long) l, '7'::int p, cast('yes' as bool) b, cast(event_id as bool) o from events",
+    "select event_id, cast(trunc(value) as int) i, cast(value as varchar) s, 100::bigint l, 7 p, true b, event_id = 1 o from events")
+add("conditional_functions", "select event_id, if(value > 100, 'a', 'b') i, coalesce(null, event_type) c, choose(2, 'x', event_type) ch, all_match(true, value > 10) am, any_match(value > 190, event_id = 1) an from events",
+    "select event_id, case when value > 100 then 'a' else 'b' end i, event_type c, event_type ch, value > 10 am, value > 190 or event_id = 1 an from events")
+add("array_functions", "select vec_id, array_len(embedding) n, contains_all(array[1, 2, 3], label) a, contains_any(array[0, 5], label) b, not_contains(array[0, 5], label) c, in(label, 1, 2) d from embeddings",
+    "select vec_id, cast(len(embedding) as bigint) n, label in (1, 2, 3) a, label in (0, 5) b, label not in (0, 5) c, label in (1, 2) d from embeddings")
+add("map_functions", "select m.event_id e, m.mp.size n, m.mp.a a from (select event_id, new_map('a', value, 'b', 2.0) mp from events) m",
+    "select event_id e, 2::bigint n, value a from events")
+add("json_get", "select event_id, cast(json_get(props, '$.k') as long) k, json_get(props, '$.zz', 'none') d, json_exists(props, '$.k') e from events",
+    "select event_id, cast(json_extract_string(props, '$.k') as bigint) k, 'none' d, true e from events")
+add("json_operators", "select event_id, props->>'k' a, props#>>'{k}' b from events", "select event_id, props->>'k' a, props->>'k' b from events")
+add("json_length_keys_type", "select event_id, json_length(props) n, json_keys(props)[0] k, json_type(props) t, json_valid(props) v, json_depth(props) d from events",
+    "select event_id, 1::bigint n, 'k' k, 'OBJECT' t, true v, 2::bigint d from events")
+add("json_contains", "select event_id, json_contains(props, '{}') a, json_equal(props, '{\"k\": -1}') b, json_overlaps('[1, 2]', '[2.0]') c from events", "select event_id, true a, false b, true c from events")
+add("json_merge_patch", "select event_id, json_merge_patch(props, '{\"k\": null, \"n\": 1}') a, json_merge('[1]', '[2]') b from events", "select event_id, '{\"n\":1}' a, '[1,2]' b from events")
+add("json_set_ops", "select event_id, json_intersect('[1,2,3]', '[3,1]') a, json_union('[1,2]', '[2,4]') b, json_diff('[1,2,2]', '[1]') c from events", "select event_id, '[1,3]' a, '[1,2,4]' b, '[2,2]' c from events")
+
+
+# --- operators without a text ----------------------------------------------------------------------
+def tumbling_time_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    counts = grouping.tumbling_time(events, F.col("ts"), 600_000, "w").groupBy("w").agg(F.count("*").alias("c"))
+    return grouping.dense(counts, "w", 600_000, {"c": 0}).select(F.unix_millis("w").alias("w"), "c")
+
+
+def window_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .operators import rows
+
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return rows.window_sort(events, ["ts", "event_id"], [F.desc("value"), F.col("event_id")], 100, "b").select("event_id", "b")
+
+
+def merge_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    a = nation.select(F.col("n_nationkey").alias("k"), "n_name", "n_regionkey")
+    b = nation.select(F.col("n_nationkey").alias("k"), "n_name", (F.col("n_regionkey") % 2).alias("n_regionkey"))
+    return merging.merge_by_key({"a": a, "b": b}, "k", "inner", ordered=False)
+
+
+QUERIES |= {"tumbling_time_dense": tumbling_time_dense, "window_sort": window_sort, "merge_conflict": merge_conflict}
+ORACLE |= {
+    "tumbling_time_dense": "with b as (select time_bucket(interval '10 minutes', ts, timestamp '1970-01-01') w, count(1) c from events group by 1) select epoch_ms(s.w) w, coalesce(c, 0) c from (select unnest(generate_series((select min(w) from b), (select max(w) from b), interval '10 minutes')) w) s left join b using (w)",
+    "window_sort": "select event_id, (row_number() over (order by ts, event_id) - 1) // 100 b from events",
+    "merge_conflict": "select n_nationkey k, n_name, n_regionkey, null::varchar \"b.n_name\", case when n_regionkey % 2 <> n_regionkey then n_regionkey % 2 end \"b.n_regionkey\" from nation",
+}
