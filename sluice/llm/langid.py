@@ -19,6 +19,8 @@ UNITS, STEPS, LANES = 8, 64, 4096
 #: Documents per language in the training sample, and characters of a passage of each.
 SAMPLE_DOCS, SAMPLE_CHARS = 1500, 256
 ROUNDS, BATCH, RATE = 300, 96, 0.02
+#: Up to so many languages, their thresholds are broadcast; beyond, they are joined by a shuffle.
+BROADCAST_LANGS = 10_000
 NO_LANGUAGE = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -209,13 +211,24 @@ def learn(docs: DataFrame, folds: int = 5, seed: int = 5) -> Net | None:
     """Train on documents whose crc32(doc_id as text) mod ``folds`` is not 0 and whose text and lang aren't null.
 
     The sample is bounded: SAMPLE_DOCS documents of each language in a seeded order, of each a passage of
-    SAMPLE_CHARS characters from a seeded place.
+    SAMPLE_CHARS characters from a seeded place; equal rows count once. The order is of a hash, so its first
+    4 * SAMPLE_DOCS rows or so are those below a threshold that follows from the language's number of rows: only
+    these are shuffled, whatever share of all rows a language has.
     """
     usable = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % folds != 0))
-    h = F.xxhash64(F.lit(seed), "doc_id")
+    hashed = usable.select("lang", "text", F.xxhash64(F.lit(seed), "doc_id", "text").alias("h"))
+    counts = hashed.groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("low"))
+    share = F.least(F.lit(1.0), F.lit(4.0 * SAMPLE_DOCS) / F.col("n"))
+    upto = F.when(share < 1, (share * 2.0**64 - 2.0**63).cast("long")).otherwise(2**63 - 1)
+    bounds = counts.select("lang", F.greatest("low", upto).alias("upto"))
+    known = bounds.take(BROADCAST_LANGS + 1)
+    if len(known) <= BROADCAST_LANGS:
+        bounds = F.broadcast(docs.sparkSession.createDataFrame(known, bounds.schema))
     room = F.greatest(F.char_length("text") - SAMPLE_CHARS + 1, F.lit(1))
-    rows = usable.select("lang", h.alias("h"), "doc_id", F.expr("text").substr((F.pmod(h, room) + 1).cast("int"), F.lit(SAMPLE_CHARS)).alias("t"))
-    first = rows.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id", "t"))).where(F.col("k") <= SAMPLE_DOCS)
+    below = hashed.join(bounds, "lang").where(F.col("h") <= F.col("upto"))
+    rows = below.select("lang", "h", F.col("text").substr((F.pmod("h", room) + 1).cast("int"), F.lit(SAMPLE_CHARS)).alias("t"))
+    rows = rows.groupBy("lang", "h").agg(F.min("t").alias("t"))
+    first = rows.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("k") <= SAMPLE_DOCS)
     samples = [(r.t.encode(), r.lang) for r in first.orderBy("lang", "k").collect() if r.t]
     return train(samples, seed) if samples else None
 

@@ -232,6 +232,19 @@ def test_language(docs):
         assert (got[r[0]].lang_pred == "und") == (not re.search(r"[^\W\d_]", r[1] or ""))
 
 
+def test_language_sample_is_bounded_and_repeatable(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(langid, "train", lambda samples, seed: seen.append(samples))
+    monkeypatch.setattr(langid, "SAMPLE_DOCS", 20)
+    rows = [(i, f"text {i}", "en" if i % 10 else "de") for i in range(3000)] + [(1, "same", "fr")] * 500
+    for limit in (10_000, 0):
+        monkeypatch.setattr(langid, "BROADCAST_LANGS", limit)
+        langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(7))
+    assert seen[0] == seen[1]
+    count = {x: sum(lang == x for _, lang in seen[0]) for x in ("en", "de", "fr")}
+    assert count["en"] == count["de"] == 20 and count["fr"] == (zlib.crc32(b"1") % 5 != 0)
+
+
 def test_gradients():
     net = langid.new_net(["a", "b", "c"], 1)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
