@@ -3,9 +3,10 @@
 Sets are compared along one global order of their elements, rarest first, so that two sets of enough overlap share an
 element of their prefixes. The order comes from exact document frequencies: blocks of documents send their elements
 to owners by hash range, and get the frequencies of those that several sets hold. The lists of the index hold only
-such elements. Answers follow set relations: every set is first compared with the centre that it meets most often,
-sets of one verified group skip each other, and only lists in which several groups meet yield more pairs; these pass
-a filter by positions and sizes, one by bitmaps, and then the comparison of the whole sets.
+such elements. Answers follow set relations: every set is first compared with the centre that it meets most often, and
+once more with one of another group; sets of one verified group skip each other, and only lists in which several
+groups meet yield more pairs, in blocks of positions that earlier lists have not covered; these pass a filter by
+positions and sizes, one by bitmaps, and then the comparison of the whole sets.
 """
 
 from __future__ import annotations
@@ -17,7 +18,8 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import Scratch, components, join_counted, mix64, open_store, partitions, small_batches, table, word_hashes
@@ -25,6 +27,8 @@ from .common import Scratch, components, join_counted, mix64, open_store, partit
 WORDS = 5
 KEY_BITS = 40
 BITMAP = 2048
+#: So many elements before a set's position in a list tell whether a pair has met in an earlier list.
+BEFORE = 8
 _LOW = np.uint64(0xFFFFFFFFFFFFFFFF >> 4)
 #: A block ends with the document that takes it to so many elements, or rows.
 BLOCK_ELEMENTS, BLOCK_ROWS = 1_500_000, 1 << 19
@@ -280,33 +284,74 @@ def alike(pairs: DataFrame, sets: DataFrame, percent: int, by_bits: bool) -> Dat
     return joined.mapInArrow(run, "u long, v long")
 
 
+def centres(postings: DataFrame, percent: int) -> DataFrame:
+    """Per list of several sets: h, its number of sets m, and ``cs``, one centre (sid, n, g) per band of sizes.
+
+    A band spans sizes within percent of each other, so there are some tens at most. The centre is the set that has the
+    fewest rarer elements before h: of a group of near copies, the one that differs least from what they share.
+    """
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent))).cast("int") if percent < 100 else F.col("n")
+    best = postings.groupBy("h", band.alias("band")).agg(F.min(F.struct("pos", "sid", "n", "g")).alias("c"), F.count("*").alias("m"))
+    return best.groupBy("h").agg(F.sum("m").alias("m"), F.collect_list(F.struct("c.sid", "c.n", "c.g")).alias("cs")).where("m > 1")
+
+
+def meet(postings: DataFrame, lists: DataFrame, limit: int, ratio: Column) -> DataFrame:
+    """(u, v, count): how often each set u meets a centre v of another group whose size may link, in the lists' order."""
+    met = join_counted(postings.select("h", F.col("sid").alias("u"), F.col("n").alias("nu"), F.col("g").alias("gu")), lists, ["h"], "m", limit)
+    met = met.select("u", "nu", "gu", F.explode("cs").alias("c")).select("u", "nu", "gu", F.col("c.sid").alias("v"), F.col("c.n").alias("nv"), F.col("c.g").alias("gv"))
+    return met.where((F.col("gu") != F.col("gv")) & ratio).groupBy("u", "v").count()
+
+
+def favourite(met: DataFrame) -> DataFrame:
+    return met.groupBy("u").agg(F.max_by("v", F.struct("count", -F.col("v"))).alias("v"))
+
+
+def several(placed: DataFrame) -> DataFrame:
+    """Lists in which several groups meet: h, the list's largest group, and its number of sets."""
+    sizes = placed.groupBy("h", "g").count()
+    return sizes.groupBy("h").agg(F.max_by("g", F.struct("count", "g")).alias("top"), F.count("*").alias("k"), F.sum("count").alias("m")).where("k > 1").select("h", "top", "m")
+
+
 def near_sets(postings: DataFrame, sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
-    """Links (u, v) that connect just the sets which all links would connect."""
+    """Links (u, v) that connect just the sets which all links would connect.
+
+    Twice, every set is compared with one centre of another group, and groups that link become one. Then the lists in
+    which several groups still meet yield the pairs of sets of different groups, each in its first list only as far
+    as the BEFORE elements before it in the sets' orders tell.
+    """
     p = partitions(scratch.spark)
     ratio = F.lit(percent) * F.greatest("nu", "nv") <= F.least("nu", "nv") * 100
-    lists = postings.groupBy("h").agg(F.min(F.struct("sid", "n")).alias("c"), F.count("*").alias("m")).where("m > 1")
-    lists = scratch.save(lists.select("h", "m", F.col("c.sid").alias("v"), F.col("c.n").alias("nv")), "lists")
     limit = max(1, postings.count() // (4 * p))
-    met = join_counted(postings.select("h", F.col("sid").alias("u"), F.col("n").alias("nu")), lists, ["h"], "m", limit)
-    met = met.where((F.col("u") != F.col("v")) & ratio).groupBy("u", "v").count()
-    first = met.groupBy("u").agg(F.max_by("v", F.struct("count", -F.col("v"))).alias("v"))
-    seeds = scratch.save(alike(scratch.save(first, "first"), sets, percent, False), "seeds")
+    apart = postings.withColumn("g", F.col("sid"))
+    first = scratch.save(favourite(meet(apart, scratch.save(centres(apart, percent), "lists"), limit, ratio)), "first")
+    seeds = scratch.save(alike(first, sets, percent, False), "seeds")
     groups = components(seeds, scratch, "group")
     placed = postings.join(groups, postings["sid"] == groups["node"], "left").withColumn("g", F.coalesce("label", "sid")).select("h", "sid", "n", "pos", "g")
     placed = scratch.save(placed, "placed")
-    # Lists of one group are skipped; in others, every set outside of the list's largest group meets the other groups.
-    sizes = placed.groupBy("h", "g").count()
-    mixed = sizes.groupBy("h").agg(F.max_by("g", F.struct("count", "g")).alias("top"), F.count("*").alias("k"), F.sum("count").alias("m")).where("k > 1").select("h", "top", "m")
-    mixed = scratch.save(mixed, "mixed")
-    some = scratch.save(join_counted(placed, mixed, ["h"], "m", limit), "some")
-    x = some.where("g <> top").select("h", F.col("sid").alias("u"), F.col("n").alias("nu"), F.col("pos").alias("pu"), F.col("g").alias("gu"))
-    y = some.select("h", F.col("sid").alias("v"), F.col("n").alias("nv"), F.col("pos").alias("pv"), F.col("g").alias("gv"), "top")
+    # Lists of one group are skipped from here on.
+    some = scratch.save(join_counted(placed, scratch.save(several(placed), "several"), ["h"], "m", limit).select("h", "sid", "n", "pos", "g"), "some")
+    again = meet(some, scratch.save(centres(some, percent), "lists-2"), limit, ratio)
+    tried = first.unionByName(first.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    second = scratch.save(favourite(again.join(tried, ["u", "v"], "left_anti")), "second")
+    seeds2 = scratch.save(alike(second, sets, percent, False), "seeds-2")
+    named = groups.select(F.col("node"), F.col("label"))
+    ends = seeds2.join(named, F.col("u") == F.col("node"), "left").select(F.coalesce("label", "u").alias("u"), "v")
+    ends = ends.join(named, F.col("v") == F.col("node"), "left").select("u", F.coalesce("label", "v").alias("v"))
+    wider = components(ends, scratch, "wider")
+    some = scratch.save(some.join(wider, some["g"] == wider["node"], "left").select("h", "sid", "n", "pos", F.coalesce("label", "g").alias("g")), "some-2")
+    mixed = scratch.save(several(some), "mixed")
+    last = W.partitionBy("sid").orderBy("pos").rowsBetween(-BEFORE, -1)
+    some = join_counted(some, mixed, ["h"], "m", limit).withColumn("before", F.collect_list("h").over(last))
+    some = scratch.save(some, "some-3")
+    # Every set outside of the list's largest group meets the other groups.
+    x = some.where("g <> top").select("h", F.col("sid").alias("u"), F.col("n").alias("nu"), F.col("pos").alias("pu"), F.col("g").alias("gu"), F.col("before").alias("hu"))
+    y = some.select("h", F.col("sid").alias("v"), F.col("n").alias("nv"), F.col("pos").alias("pv"), F.col("g").alias("gv"), F.col("before").alias("hv"), "top")
     room = F.least(F.col("nu") - F.col("pu"), F.col("nv") - F.col("pv")) * (100 + percent) >= (F.col("nu") + F.col("nv")) * percent
     order = (F.col("u") < F.col("v")) | (F.col("gv") == F.col("top"))  # two sets outside of the largest group meet once
-    pairs = x.join(y, "h").where((F.col("gu") != F.col("gv")) & order & ratio & room)
+    pairs = x.join(y, "h").where((F.col("gu") != F.col("gv")) & order & ratio & room & ~F.arrays_overlap("hu", "hv"))
     pairs = scratch.save(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
     close = scratch.save(alike(pairs, sets, percent, True), "close")
-    return scratch.save(seeds.unionByName(alike(close, sets, percent, False)), "links")
+    return scratch.save(seeds.unionByName(seeds2).unionByName(alike(close, sets, percent, False)), "links")
 
 
 def jaccard_components(docs: DataFrame, percent: int = 75) -> DataFrame:

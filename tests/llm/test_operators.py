@@ -223,6 +223,26 @@ def test_jaccard(docs):
     assert {i: (x.n_shingles, x.component_id) for i, x in got.items()} == {i: (len(sets[i]), label[i]) for i in ids}
 
 
+def test_jaccard_of_a_dense_group(spark, tmp_path):
+    """Copies of a passage and of its first three quarters, with so many words changed that some link and some don't."""
+    rng = np.random.default_rng(8)
+    base, texts = [f"w{k}" for k in range(90)], []
+    for k in range(240):
+        own = base[: 90 if k % 3 else 68]
+        for j in range(int(rng.integers(1, 9))):
+            own = [f"x{k}.{j}" if i == rng.integers(len(own)) else w for i, w in enumerate(own)]
+        texts.append(" ".join(own))
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4).write.parquet(str(tmp_path / "d"))
+    got = by_id(jaccard.jaccard_components(spark.read.parquet(str(tmp_path / "d"))))
+    sets = [set(zip(*[t.split()[k:] for k in range(5)])) for t in texts]
+    label = list(range(len(sets)))
+    links = [(a, b) for a in label for b in range(a) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    for _ in label:
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    assert 1 < len(set(label)) < 200 and [got[i].component_id for i in range(len(sets))] == label
+
+
 def test_language(docs):
     got = by_id(langid.languages(docs))
     held = [r for r in ROWS if zlib.crc32(str(r[0]).encode()) % 5 == 0 and r[2] and len(words(r[1])) > 10]
