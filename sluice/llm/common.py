@@ -96,7 +96,7 @@ def ordered_index(df: DataFrame, scratch: Scratch, part: str, *order: Column) ->
 
 # --- bytes ---------------------------------------------------------------------------------------
 
-PIECE = 1 << 20
+PIECE = 1 << 18
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)

@@ -170,17 +170,22 @@ def send_keys(docs: DataFrame, parts: int) -> DataFrame:
 
 
 def answer(group: pd.DataFrame) -> pd.DataFrame:
-    """Of one owner: for each block the keys that several sets hold, with the number of sets up to 255."""
-    blobs = [(b, expand_keys(k), expand(c, "u1")) for b, k, c in zip(group["block"], group["keys"], group["counts"])]
-    every = np.concatenate([k for _, k, _ in blobs])
-    order = np.argsort(every, kind="stable")
-    every = every[order]
+    """Of one owner: for each block the keys that several sets hold, with the number of sets up to 255.
+
+    Keys and counts are sorted in place as one array of 64-bit integers; blocks are expanded one at a time.
+    """
+    every = np.concatenate([expand_keys(k) << np.uint64(8) | expand(c, "u1") for k, c in zip(group["keys"], group["counts"])])
+    every.sort()
+    counts = (every & np.uint64(255)).astype(np.uint32)
+    every >>= np.uint64(8)
     first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
-    total = np.add.reduceat(np.concatenate([c for _, _, c in blobs])[order].astype(np.int64), first)
+    total = np.add.reduceat(counts, first)
     common = total > 1
-    keys, level = every[first][common], np.minimum(total[common], 255).astype(np.uint8)
+    keys, level = every[first[common]], np.minimum(total[common], 255).astype(np.uint8)
+    del every, counts, first, total, common
     out = []
-    for b, k, _ in blobs:
+    for b, blob in zip(group["block"], group["keys"]):
+        k = expand_keys(blob)
         at = np.searchsorted(keys, k)
         hit = np.minimum(at, max(len(keys) - 1, 0))
         mine = hit[keys[hit] == k] if len(keys) else hit[:0]
