@@ -14,7 +14,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import release, small_batches, table
 from .tokens import ChunkCache
 
 #: Fixed value: the pattern by which byte-level BPE of this vocabulary cuts texts into words.
@@ -22,6 +22,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 NONE = np.int32(2**31 - 1)
 #: Words of up to so many bytes go through the arrays side by side; longer ones one at a time.
 SHORT = 32
+#: Words, and characters of chunks, that a worker remembers; beyond, its memory starts anew.
+KNOWN_WORDS, KNOWN_CHARS = 100_000, 2_500_000
 
 
 def byte_chars() -> dict[str, int]:
@@ -173,7 +175,7 @@ class ByteBPE:
 
     def encode_chunks(self, chunks: list[str]) -> list[bytes]:
         """Ids of each chunk; words are merged once each."""
-        if len(self.known) > 400_000:
+        if len(self.known) > KNOWN_WORDS:
             self.known = {}
         cuts = self._words(chunks)
         fresh = list(set(chain.from_iterable(cuts)).difference(self.known))
@@ -203,7 +205,7 @@ def coder(path: str) -> tuple[ByteBPE, ChunkCache]:
     """The vocabulary and the chunks known so far, kept by the worker process."""
     if path not in _made:
         bpe = ByteBPE(path)
-        _made[path] = bpe, ChunkCache(bpe.encode_chunks)
+        _made[path] = bpe, ChunkCache(bpe.encode_chunks, KNOWN_CHARS)
     return _made[path]
 
 
@@ -229,6 +231,7 @@ def bpe_digests(text: Column, path: str) -> Column:
                 text = bpe.decode(ids).decode("utf-8", errors="replace").encode()
                 rows.append((len(ids), hashlib.sha256(b",".join(map(decimal, ids))).hexdigest(), hashlib.sha256(text).hexdigest()))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+        release()
 
     return run(text)
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, join_counted, mix64, open_store, partitions, small_batches, table, word_hashes
+from .common import Scratch, components, join_counted, mix64, open_store, partitions, release, small_batches, table, word_hashes
 
 WORDS = 5
 KEY_BITS = 40
@@ -165,6 +165,8 @@ def send_keys(docs: DataFrame, parts: int) -> DataFrame:
             for at in range(0, len(rows), 64):
                 cols = zip(*rows[at : at + 64])
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["part", "block", "keys", "counts"])
+            rows = cols = keys = counts = None
+        release()
 
     return docs.mapInArrow(run, BLOBS)
 
@@ -191,6 +193,8 @@ def answer(group: pd.DataFrame) -> pd.DataFrame:
         mine = hit[keys[hit] == k] if len(keys) else hit[:0]
         if len(mine):
             out.append((int(group["part"].iloc[0]), b, squeeze_keys(keys[mine]), squeeze(level[mine])))
+    del keys, level
+    release()
     return pd.DataFrame(out, columns=["part", "block", "keys", "counts"])
 
 
@@ -260,6 +264,8 @@ def index(docs: DataFrame, root: str, percent: int) -> DataFrame:
                 yield _found(rows)
             if last and mark != (f"{block.rows}:{block.mark}" if block.rows or mark else ""):
                 raise ValueError("a task read other documents than before; write the table first")
+        keys = levels = None
+        release()
 
     return docs.mapInArrow(run, FOUND)
 
@@ -284,6 +290,7 @@ def alike(pairs: DataFrame, sets: DataFrame, percent: int, by_bits: bool) -> Dat
             else:
                 keep = np.array([len(np.intersect1d(np.frombuffer(p, "<u8"), np.frombuffer(q, "<u8"), True)) >= k for p, q, k in zip(bu, bv, need)], bool)
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+        release()
 
     joined = pairs.join(a, "u").join(b, "v").select("u", "v", "nu", "nv", "bu", "bv")
     return joined.mapInArrow(run, "u long, v long")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import release, small_batches, table
 
 #: Units per direction, bytes per segment, segments side by side.
 UNITS, STEPS, LANES = 8, 64, 4096
@@ -247,6 +247,7 @@ def identify(text: Column, net: Net | None) -> Column:
                 langs[has] = np.array(net.langs, object)[means.argmax(1)]
                 scores[has] = np.clip(means.max(1), 0, 1)
             yield pd.DataFrame({"lang_pred": langs, "score": scores})
+        release()
 
     return run(text)
 
