@@ -140,8 +140,8 @@ add("take_first_then_last", "select take(event_id, 3, -2) e from events group by
     "select event_id e, user_id from (select *, row_number() over (partition by user_id order by rn desc) r2 from (select *, row_number() over (partition by user_id order by ts, event_id) rn from events) where rn <= 3) where r2 <= 2")
 add("group_take", "select event_id, user_id from events group by user_id, take(1)", "select event_id, user_id from (select *, row_number() over (partition by user_id order by ts, event_id) rn from events) where rn = 1")
 add("collect_list_size", "select event_type, array_len(collect_list(event_id)) n from events group by event_type", "select event_type, count(1) n from events group by event_type")
-add("collect_list_struct", "select event_type, collect_list(event_id, user_id) l from events where event_id < 50 group by event_type", "")
-add("collect_row_map", "select event_type, collect_row(user_id, value) m from events where event_id < 200 group by event_type", "")
+add("collect_list_struct", "select event_type, collect_list(event_id, user_id) l from events group by event_type", "")
+add("collect_row_map", "select event_type, collect_row(user_id, value) m from events group by event_type", "")
 # --- windows ---------------------------------------------------------------------------------------
 add("tumbling_time", "select to_millis(_window_start) w, count(1) c from events group by _window('6h')", "select epoch_ms(time_bucket(interval '6 hours', ts, timestamp '1970-01-01')) w, count(1) c from events group by 1")
 add("interval_by_key", "select to_millis(_window_start) w, event_type, count(1) c from events group by interval('1d'), event_type", "select epoch_ms(date_trunc('day', ts)) w, event_type, count(1) c from events group by 1, 2")

@@ -1,5 +1,6 @@
 """The dialect on small rows with known answers, the catalogue against DuckDB, and the streams."""
 
+import datetime
 import glob
 import os
 
@@ -84,6 +85,21 @@ def test_catalogue_against_duckdb(spark, name):
     assert sorted(tuple(map(show, r)) for r in out.select(*[f"`{c}`" for c in cols]).collect()) == sorted(tuple(show(r[i]) for i in at) for r in want.fetchall())
 
 
+def test_collect_over_all_events(spark, tmp_path):
+    """Neither query has SQL: lists in order of arrival, and maps to the last value, over a hot group, equal times, gaps and high ids."""
+    start = datetime.datetime(2024, 1, 1)
+    events = [(i, start + datetime.timedelta(minutes=i * 7919 % 300), None if i % 13 == 0 else i % 17, "click" if i % 5 else f"t{i % 3}", None if i % 11 == 0 else float(i), "{}") for i in range(700)]
+    spark.createDataFrame(events, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").repartition(5).write.parquet(str(tmp_path / "events.parquet"))
+    lists, maps = {}, {}
+    for i, _, user, kind, value, _ in sorted(events, key=lambda e: e[1::-1]):
+        lists.setdefault(kind, []).append({"event_id": i} | ({} if user is None else {"user_id": user}))
+        if user is not None and value is not None:
+            maps.setdefault(kind, {})[user] = value
+    got = {r.event_type: [{k: v for k, v in x.asDict().items() if v is not None} for x in r.l] for r in catalog.QUERIES["collect_list_struct"](spark, str(tmp_path)).collect()}
+    assert got == lists and sum(map(len, got.values())) == len(events)
+    assert {r.event_type: r.m for r in catalog.QUERIES["collect_row_map"](spark, str(tmp_path)).collect()} == maps
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0 and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
