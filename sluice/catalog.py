@@ -127,8 +127,8 @@ add("group_key_list", "select count(1) c, _group_by_key[0] k from events group b
 add("agg_distinct_count", "select event_type, count(distinct user_id) d, distinct_count(user_id) e from events group by event_type", "select event_type, count(distinct user_id) d, count(distinct user_id) e from events group by event_type")
 add("agg_unique_count", "select event_type, count(unique user_id) u from events group by event_type",
     "select event_type, cast(count(*) filter (where n = 1) as bigint) u from (select event_type, user_id, count(*) n from events group by all) group by event_type")
-add("agg_unique_avg", "select avg(unique user_id) a, sum(distinct user_id) s from events where event_id < 200",
-    "select avg(user_id) filter (where n = 1) a, cast(sum(user_id) as double) s from (select user_id, count(*) n from events where event_id < 200 group by all)")
+add("agg_unique_avg", "select avg(unique user_id) a, round(avg(unique value), 6) b, sum(distinct user_id) s from events",
+    "select a, floor(b * 1e6 + 0.5) / 1e6 b, s from (select avg(user_id) filter (where n = 1) a, cast(sum(user_id) as double) s from (select user_id, count(*) n from events group by all)), (select avg(value) filter (where n = 1) b from (select value, count(*) n from events group by all))")
 add("agg_sum_double", "select sum(l_linenumber) s, count(*) c, count(l_partkey) p from lineitem", "select cast(sum(l_linenumber) as double) s, count(*) c, count(l_partkey) p from lineitem")
 add("pricing_summary", "select l_returnflag, l_linestatus, sum(l_quantity) q, round(sum(l_extendedprice * (1 - l_discount)), 0) rev, count(1) c from lineitem where l_shipdate <= {ts '1998-09-02 00:00:00'} group by l_returnflag, l_linestatus",
     "select l_returnflag, l_linestatus, sum(l_quantity) q, floor(sum(l_extendedprice * (1 - l_discount)) + 0.5) rev, count(1) c from lineitem where l_shipdate <= timestamp '1998-09-02' group by 1, 2")

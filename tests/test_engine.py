@@ -100,6 +100,16 @@ def test_collect_over_all_events(spark, tmp_path):
     assert {r.event_type: r.m for r in catalog.QUERIES["collect_row_map"](spark, str(tmp_path)).collect()} == maps
 
 
+def test_unique_avg_over_all_events(spark, tmp_path):
+    """Users and values seen once have high ids; a hot user and a hot value are never among them."""
+    events = [(i, 7 if i < 600 else i, 2.5 if i < 650 else i / 4) for i in range(700)]
+    spark.createDataFrame(events, "event_id long, user_id long, value double").selectExpr("*", "timestamp_seconds(event_id) ts").repartition(5).write.parquet(str(tmp_path / "events.parquet"))
+    users, values = ([e[k] for e in events] for k in (1, 2))
+    mean = lambda xs: sum(once := [x for x in xs if xs.count(x) == 1]) / len(once)
+    got = catalog.QUERIES["agg_unique_avg"](spark, str(tmp_path)).collect()
+    assert [(r.a, r.b, r.s) for r in got] == [(mean(users), mean(values), sum(set(users)))]
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0 and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
