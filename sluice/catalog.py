@@ -170,9 +170,9 @@ add("merge_dup_cartesian", "select k, a, b from merge_by_key('k', (select n_regi
     "select n_regionkey k, n_nationkey a, s_suppkey b from nation join supplier on n_regionkey = s_nationkey")
 add("merge_dup_array", "select k, array_len(x) nx, array_len(y) ny from merge_by_key('k', (select n_regionkey k, n_nationkey a from nation) x, (select s_nationkey k, s_suppkey b from supplier) y, 'full', 'array')",
     "select k, coalesce(nx, 0) nx, coalesce(ny, 0) ny from (select n_regionkey k, count(1) nx from nation group by 1) full join (select s_nationkey k, count(1) ny from supplier group by 1) using (k)")
-add("unnest_embedding", "select vec_id, unnest(embedding) x from embeddings where vec_id < 50")
+add("unnest_embedding", "select vec_id, unnest(embedding) x from embeddings")
 add("unnest_multi", "select u.c c, u.d d from unnest(array[1, 2, 3], array['x', 'y']) as u(c, d)", "select unnest([1, 2, 3])::bigint c, unnest(['x', 'y', null]) d")
-add("lateral_unnest", "select e.vec_id v, u.x x from embeddings e cross join unnest(e.embedding) as u(x) where e.vec_id < 20", "select vec_id v, unnest(embedding) x from embeddings where vec_id < 20")
+add("lateral_unnest", "select e.vec_id v, u.x x from embeddings e cross join unnest(e.embedding) as u(x)", "select vec_id v, unnest(embedding) x from embeddings")
 # --- functions -------------------------------------------------------------------------------------
 add("math_functions", "select event_id, round(math.log(value + 1), 6) a, floor(value) b, ceil(value) c, round(value) d, round(pow(value, 2), 3) e, math.max(value, 50, event_id) f, greatest(value, 10.5) g, value % 7 h from events",
     "select event_id, floor(ln(value + 1) * 1e6 + 0.5) / 1e6 a, floor(value) b, ceil(value) c, cast(floor(value + 0.5) as bigint) d, floor(value * value * 1e3 + 0.5) / 1e3 e, greatest(value, 50.0, event_id)::double f, greatest(value, 10.5::double) g, value % 7 h from events")

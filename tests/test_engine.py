@@ -110,6 +110,15 @@ def test_unique_avg_over_all_events(spark, tmp_path):
     assert [(r.a, r.b, r.s) for r in got] == [(mean(users), mean(values), sum(set(users)))]
 
 
+@pytest.mark.parametrize(("name", "key"), [("unnest_embedding", "vec_id"), ("lateral_unnest", "v")])
+def test_unnest_of_all_embeddings(spark, tmp_path, name, key):
+    """All vectors, high ids too; an empty or null list gives no rows."""
+    vecs = [(i * 7, [float(i), float(k), 0.5] if k % 3 else [], k) for k, i in enumerate(range(90))] + [(10_000, None, 1)]
+    spark.createDataFrame(vecs, "vec_id long, embedding array<float>, label long").repartition(3).write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = sorted((r[key], r.x) for r in catalog.QUERIES[name](spark, str(tmp_path)).collect())
+    assert got == sorted((i, x) for i, v, _ in vecs for x in v or [])
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0 and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
