@@ -269,7 +269,10 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language: those predicted ``und`` go."""
+    """Documents in a known language: those predicted ``und`` go.
+
+    These are null texts and texts without letters, or all if nothing was learned; other labels and scores reject nothing.
+    """
     small_batches(spark)
     marked = docs.withColumn("__p", identify(F.col("text"), learn(docs)))
     return marked.where(F.col("__p.lang_pred") != NO_LANGUAGE).select(*docs.columns)
