@@ -405,8 +405,19 @@ def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with __row, a number by file and place in it. It is the same in every scan of a table, however it is split."""
+    place = docs.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__at"))
+    files = sorted(r[0] for r in place.select("__file").distinct().collect())
+    known = docs.sparkSession.createDataFrame(list(enumerate(files)), "__k long, __file string")
+    row = F.shiftleft("__k", 40).bitwiseOR(F.col("__at"))
+    return place.join(F.broadcast(known), "__file").select(*docs.columns, row.alias("__row"))
+
+
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component the document with the smallest doc_id; one row of equal ids, and rows without id stay."""
-    stay = jaccard_components(docs).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(stay, docs["doc_id"] == F.col("__id")).select(*docs.columns)
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
+    """Of each component one row, that of the smallest doc_id; null ids come last, rows of equal ids by their place."""
+    rows = numbered(docs)
+    parts = jaccard_components(rows.select(F.col("__row").alias("doc_id"), "text")).select(F.col("doc_id").alias("__row"), "component_id")
+    best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row"))
+    stay = parts.join(rows.select("__row", "doc_id"), "__row").groupBy("component_id").agg(best.alias("__best")).select("__best.__row")
+    return rows.join(stay, "__row").select(*docs.columns)

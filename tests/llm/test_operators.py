@@ -223,6 +223,24 @@ def test_jaccard(docs):
     assert {i: (x.n_shingles, x.component_id) for i, x in got.items()} == {i: (len(sets[i]), label[i]) for i in ids}
 
 
+def test_jaccard_stage_keeps_one_row_of_a_component(spark, tmp_path):
+    """Repeated rows, equal ids in several components, null ids alone and beside others; rows without words stay."""
+    near = lambda k, j: " ".join(f"w{k}x{i}" for i in range(60)) + f" own{j}"
+    rows = [(5, near(0, 0)), (5, near(0, 0)), (3, near(0, 1)), (None, near(0, 2)), (None, near(1, 0)), (None, near(1, 1)), (3, near(2, 0)), (1, near(2, 1)), (9, near(3, 0)), (9, near(4, 0)), (None, near(5, 0)), (2, ""), (None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(str(tmp_path / "d"))
+    got = [tuple(r) for r in jaccard.jaccard_stage(spark, spark.read.parquet(str(tmp_path / "d")), "").collect()]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (words(t) for _, t in rows)]
+    label = list(range(len(rows)))
+    for _ in rows:
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if a & b and len(a & b) * 100 >= 75 * len(a | b):
+                    label[i] = label[j] = min(label[i], label[j])
+    want = [min((r[0] for r, x in zip(rows, label) if x == k and r[0] is not None), default=None) for k in sorted(set(label))]
+    assert sorted(r[0] or 0 for r in got) == sorted(r or 0 for r in want) and len(got) == 8
+    assert all(r in rows for r in got) and len(set(got)) == len(got)
+
+
 def test_jaccard_of_a_dense_group(spark, tmp_path):
     """Copies of a passage and of its first three quarters, with so many words changed that some link and some don't."""
     rng = np.random.default_rng(8)
