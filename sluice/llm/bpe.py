@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-import json
 from collections.abc import Iterator
 from itertools import chain
 
@@ -15,10 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import release, small_batches, table
-from .tokens import ChunkCache
+from .tokens import PATTERN, ChunkCache, Memory, check_rules
 
-#: Fixed value: the pattern by which byte-level BPE of this vocabulary cuts texts into words.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NONE = np.int32(2**31 - 1)
 #: Words of up to so many bytes go through the arrays side by side; longer ones one at a time.
 SHORT = 32
@@ -41,8 +38,7 @@ class ByteBPE:
     """
 
     def __init__(self, path: str) -> None:
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+        spec = check_rules(path)
         vocab: dict[str, int] = spec["model"]["vocab"]
         chars = byte_chars()
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -58,7 +54,7 @@ class ByteBPE:
         self.merged = np.array([vocab[a + b] for a, b in pairs], np.int32)
         self.words = regex.compile(PATTERN)
         self.special = regex.compile("|".join(regex.escape(w) for w in sorted(self.added, key=len, reverse=True))) if self.added else None
-        self.known: dict[str, bytes] = {}
+        self.known = Memory(2 * KNOWN_WORDS)
 
     def _slot(self, key: np.ndarray) -> np.ndarray:
         return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -175,12 +171,13 @@ class ByteBPE:
 
     def encode_chunks(self, chunks: list[str]) -> list[bytes]:
         """Ids of each chunk; words are merged once each."""
-        if len(self.known) > KNOWN_WORDS:
-            self.known = {}
         cuts = self._words(chunks)
-        fresh = list(set(chain.from_iterable(cuts)).difference(self.known))
-        ids = [w for w in fresh if w.__class__ is int]
-        self.known.update((i, i.to_bytes(4, "little")) for i in ids)
+        self.known.size = len(self.known.young)
+        self.known.turn(0)
+        known = self.known.young
+        again, fresh = self.known.split(set(chain.from_iterable(cuts)).difference(known))
+        known.update(again)
+        known.update((i, i.to_bytes(4, "little")) for i in fresh if i.__class__ is int)
         fresh = [w for w in fresh if w.__class__ is str]
         raw = [w.encode() for w in fresh]
         by_width: dict[int, list[int]] = {}
@@ -189,9 +186,9 @@ class ByteBPE:
         for width, where in by_width.items():
             for s in range(0, len(where), 8192):
                 some = where[s : s + 8192]
-                got = self.merge_words([raw[k] for k in some]) if width else [self.merge_long(raw[k]) for k in some]
-                self.known.update(zip([fresh[k] for k in some], got))
-        get = self.known.__getitem__
+                ids = self.merge_words([raw[k] for k in some]) if width else [self.merge_long(raw[k]) for k in some]
+                known.update(zip([fresh[k] for k in some], ids))
+        get = known.__getitem__
         return [get(ws[0]) if len(ws) == 1 else b"".join(map(get, ws)) for ws in cuts]
 
     def decode(self, ids: list[int]) -> bytes:
@@ -243,7 +240,11 @@ def vocabulary() -> str:
 
 
 def bpe(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """Per row: doc_id, n_tokens, ids_sha256, decoded_sha256. Null text counts as empty; other columns are not read."""
+    """Per row: doc_id, n_tokens, ids_sha256, decoded_sha256.
+
+    Null text counts as empty: no tokens. Null and repeated ids and repeated rows give a row each. An empty table gives no
+    rows. Other columns are not read, whatever their names.
+    """
     small_batches(docs.sparkSession)
     rows = docs.select("doc_id", bpe_digests(F.col("text"), path or vocabulary()).alias("b"))
     return rows.select("doc_id", "b.n_tokens", "b.ids_sha256", "b.decoded_sha256")

@@ -2,15 +2,30 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable
-from itertools import chain
 
+#: Fixed value: the pattern by which byte-level BPE of this vocabulary cuts texts into words.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A text without these is cut at every space; they are a superset of the white space that patterns know.
 _ODD = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 
 
+def check_rules(path: str) -> dict:
+    """The content of a tokenizer file. Raises if the file cuts or changes texts in another way than PATTERN does."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    cutter = spec.get("pre_tokenizer") or {}
+    plain = spec.get("normalizer") is None and cutter.get("type") == "ByteLevel" and not cutter.get("add_prefix_space") and cutter.get("use_regex", True)
+    model = spec["model"]
+    odd = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if model.get(k)]
+    if not plain or model["type"] != "BPE" or odd or any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in spec["added_tokens"]):
+        raise ValueError(f"{path}: only byte-level BPE without a normalizer is supported")
+    return spec
+
+
 def cut(text: str) -> list[str]:
     """Cut before each space that stands between two characters which aren't white space.
 
@@ -22,27 +37,52 @@ def cut(text: str) -> list[str]:
     return text.split(" ")
 
 
+class Memory:
+    """A bounded mapping of two generations: what the older one holds and nobody asks for is forgotten first."""
+
+    def __init__(self, limit: int) -> None:
+        self.limit, self.size = limit, 0
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def split(self, keys: set) -> tuple[dict, list]:
+        """Of keys that aren't young: those known, which become young again, and the others."""
+        known = {k: self.old[k] for k in keys if k in self.old}
+        return known, [k for k in keys if k not in known]
+
+    def turn(self, size: int) -> None:
+        """Before ``size`` more is put into the young: they become the old if they would exceed half of the limit."""
+        if self.size + size > self.limit // 2:
+            self.old, self.young, self.size = self.young, {}, 0
+        self.size += size
+
+
 class ChunkCache:
     """Ids of texts as bytes of little-endian integers, from those of their chunks.
 
-    encode gets distinct chunks, the leading space included, and returns the ids of each as bytes. At most ``limit``
-    characters of chunks are remembered; beyond that, the memory starts anew.
+    encode gets distinct chunks, the leading space included, and returns the ids of each as bytes. About ``limit``
+    characters of chunks are remembered.
     """
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 9_000_000) -> None:
-        self.encode, self.limit, self.size = encode, limit, 0
-        self.known: dict[str, bytes] = {}
+        self.encode, self.memory = encode, Memory(limit)
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        cuts = [cut(t) for t in texts]
-        firsts = [c[0] for c in cuts]
-        rests = [c[1:] for c in cuts]
-        fresh = list(set(chain.from_iterable(rests)).difference(self.known))
-        if self.size + sum(map(len, fresh)) > self.limit:
-            self.known, self.size = {}, 0
-            fresh = list(set(chain.from_iterable(rests)))
-        got = self.encode([" " + c for c in fresh] + firsts)
-        self.known.update(zip(fresh, got))
-        self.size += sum(map(len, fresh))
-        get = self.known.__getitem__
-        return [head + b"".join(map(get, rest)) for head, rest in zip(got[len(fresh) :], rests)]
+        found, open_ones, missing = [], [], set()
+        get = self.memory.young.get
+        for k, t in enumerate(texts):
+            chunks = cut(t)
+            chunks[0] = "\n" + chunks[0]  # no other chunk begins with white space: this one has no space before it
+            got = list(map(get, chunks))
+            if None in got:
+                open_ones.append((k, chunks))
+                missing.update([c for c, g in zip(chunks, got) if g is None])
+            found.append(got)
+        if missing:
+            new, asked = self.memory.split(missing)
+            new.update(zip(asked, self.encode([c[1:] if c[0] == "\n" else " " + c for c in asked])))
+            for k, chunks in open_ones:
+                found[k] = [new[c] if g is None else g for c, g in zip(chunks, found[k])]
+            self.memory.turn(sum(map(len, new)))
+            self.memory.young.update(new)
+        return list(map(b"".join, found))
