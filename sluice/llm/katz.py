@@ -1,10 +1,16 @@
-"""Katz backoff language model over word bigrams, with Good-Turing discounts and exactly normalised weights.
-
-The counts live in owners' tables, dealt by hash. A block of documents sends each owner the words, then the pairs of
-words that it holds, each once with its count, and gets back the global counts, in the same order; a pair's owner also
-returns what the backoff weight of its first word is made of. So no task holds more than one block or one owner's part,
-and a frequent word arrives as one row per block. First words of over 1/(4 * owners) of the training tokens are dealt by
-pair; their parts of the weight are summed after, at most 4 * owners of them.
+"""Katz backoff language model of any order, with Good-Turing discounts and exactly normalised weights.
+
+Documents are tokenized once, into a table of blocks. The counts live in owners' tables, dealt by ranges of the context's
+hash; level by level, a block sends each owner the n-grams that it holds, each once with its count, and gets back their
+global counts and, per context, what its backoff weight is made of; replies are shuffled to their block, one file each.
+A block then knows the counts of its n-grams, sends those that are one word longer, and at last evaluates all levels. So
+no task holds more than one block or one owner's part, a frequent n-gram arrives as one row per block, and the number of
+owners follows the number of tokens. Contexts of over half an owner's share are dealt by n-gram instead; their parts
+of the weight are summed after, at most two per owner.
+
+All that travels is whole numbers: of a context the numbers of its continuations seen r times, for r up to CUT, and the
+sum of larger counts; and both once more for the counts that the same continuations have one level below, from which
+follows the probability that the lower level gives to all of them together.
 """
 
 from __future__ import annotations
@@ -20,28 +26,40 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, mix64, open_store, partitions, small_batches, table, word_hashes
+from .common import Scratch, mix64, open_store, partitions, release, table, word_hashes
 
+#: Words of the longest n-gram.
+ORDER = 3
 #: Counts of up to CUT are discounted.
 CUT = 5
-#: Tokens of a block; a longer document is a block by itself.
-BLOCK_TOKENS = 2_000_000
+#: Tokens of a block; a longer document is a block by itself. Training tokens of an owner.
+BLOCK_TOKENS, OWNER_TOKENS = 500_000, 1_000_000
+#: Rows of a batch that are hashed together.
+ROWS = 256
 END, START = np.uint64(0x8B1F3D5A7C9E2461), np.uint64(0x17D6B3E9A4C58F02)
-SCHEMA = "kind int, part int, block long, mark string, a binary, b binary, c binary, d binary, e binary, f binary"
-COLUMNS = ["kind", "part", "block", "mark", "a", "b", "c", "d", "e", "f"]
+STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Bits of a word's number; the rest of a key is for the contexts of an owner.
+WORD_BITS = 40
+BLOCKS = "block long, n long, ids binary, flags binary, sizes binary, tokens binary, words binary, counts binary"
+MESSAGES = "part int, block long, a binary, b binary, c binary, d binary, e binary, f binary"
+REPLIES = "kind int, part int, block long, a binary, b binary"
 OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+#: Numbers of a context: its counts and those one level below.
+STATS = 2 * (CUT + 1)
 
 
 def _pack(x: np.ndarray) -> bytes:
-    """Numbers by byte planes, then zstd."""
-    planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T)
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+    """Whole numbers of at least 0, in as many bytes as the largest needs, by byte planes, then zstd."""
+    top = int(x.max(initial=0))
+    size = next(s for s in (1, 2, 4, 8) if top < 1 << 8 * s)
+    planes = np.ascontiguousarray(x.astype(f"<u{size}").view(np.uint8).reshape(len(x), size).T)
+    return bytes([size]) + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
-def _unpack(data: bytes, kind: str) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(size, -1)
-    return np.ascontiguousarray(raw.T).view(kind).ravel()
+def _unpack(data: bytes) -> np.ndarray:
+    size = data[0]
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(memoryview(data)[1:]), np.uint8).reshape(size, -1)
+    return np.ascontiguousarray(raw.T).view(f"<u{size}").ravel()
 
 
 def _deltas(x: np.ndarray) -> bytes:
@@ -49,7 +67,12 @@ def _deltas(x: np.ndarray) -> bytes:
 
 
 def _sums(data: bytes) -> np.ndarray:
-    return np.cumsum(_unpack(data, "<u8"), dtype=np.uint64)
+    return np.cumsum(_unpack(data), dtype=np.uint64)
+
+
+def _first(x: np.ndarray) -> np.ndarray:
+    """Places at which runs of equal neighbours begin."""
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
 
 
 def discounts(counts_of_counts: dict[int, int]) -> np.ndarray:
@@ -88,331 +111,426 @@ class Unigrams:
 
 
 @dataclass
-class Block:
-    """Tokens of some documents in order: before holds each token's context."""
-
-    number: int
-    ids: list
-    held: np.ndarray
-    train: np.ndarray
-    sizes: np.ndarray
-    tokens: np.ndarray
-    mark: str
-
-    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        ends = np.cumsum(self.sizes)
-        before = np.empty_like(self.tokens)
-        before[1:] = self.tokens[:-1]
-        before[ends - self.sizes] = START
-        return before, mix64(before * np.uint64(0x9E3779B97F4A7C15) + self.tokens), np.repeat(self.train, self.sizes)
-
-
-def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
-    """Blocks of the task's documents (doc_id, held_out, train, text), cut by their lengths alone."""
-    from pyspark import TaskContext
-
-    pid, k = TaskContext.get().partitionId(), 0
-    parts: list[tuple] = []
-    size = 0
-
-    def made() -> Block:
-        nonlocal parts, size, k
-        ids = [i for p in parts for i in p[0]]
-        tokens = np.concatenate([p[3] for p in parts])
-        mark = f"{len(ids)}:{int(mix64(tokens + np.arange(len(tokens), dtype=np.uint64)).sum(dtype=np.uint64))}"
-        b = Block(pid << 32 | k, ids, np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts]), np.concatenate([p[4] for p in parts]), tokens, mark)
-        parts, size, k = [], 0, k + 1
-        return b
+class Deal:
+    """How a run deals its counts: owners, first number of each owner's words, training documents, tokens of a hot context."""
 
-    for batch in batches:
-        ids, held, train, texts = (c.to_pylist() for c in batch.columns)
-        hashes, offsets = word_hashes([b"" if t is None else t.lower() for t in texts])
-        held, train = np.array(held, bool), np.array(train, bool)
-        tokens = np.insert(hashes, offsets[1:], END)
-        offsets = offsets + np.arange(len(offsets))
-        at, sizes = 0, np.diff(offsets)
-        while at < len(ids):
-            upto = at
-            while upto < len(ids) and (not size or size + sizes[upto] <= BLOCK_TOKENS):
-                size += int(sizes[upto])
-                upto += 1
-            if upto > at:
-                parts.append((ids[at:upto], held[at:upto], train[at:upto], tokens[offsets[at] : offsets[upto]], sizes[at:upto]))
-                at = upto
-            if at < len(ids):
-                yield made()
-    if parts:
-        yield made()
+    parts: int
+    base: np.ndarray
+    starts: int
+    limit: int
 
 
 def owner(h: np.ndarray, parts: int) -> np.ndarray:
-    return ((mix64(h + np.uint64(77)) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+    """Owners hold ranges of hashes."""
+    return ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
-def _rows(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.string(), *[pa.binary()] * 6]
+def _batches(rows: list[tuple], schema: str) -> Iterator[pa.RecordBatch]:
+    of = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
     for at in range(0, len(rows), 64):
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[at : at + 64]), kinds)], COLUMNS)
+        yield pa.RecordBatch.from_arrays([pa.array(c, of[k]) for c, (_, k) in zip(zip(*rows[at : at + 64]), fields)], [n for n, _ in fields])
 
 
 def _slices(part: np.ndarray, parts: int) -> list[tuple[int, int, int]]:
     cuts = np.searchsorted(part, np.arange(parts + 1))
-    return [(p, cuts[p], cuts[p + 1]) for p in range(parts) if cuts[p] < cuts[p + 1]]
+    held = np.flatnonzero(cuts[1:] > cuts[:-1])
+    return list(zip(held.tolist(), cuts[held].tolist(), cuts[held + 1].tolist()))
 
 
-# --- words ---------------------------------------------------------------------------------------
+# --- blocks --------------------------------------------------------------------------------------
+
+
+def tokenize(docs: DataFrame) -> DataFrame:
+    """Blocks of documents (doc_id, held_out, train, text): tokens as places in the block's sorted words, and their counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        pid, k, size = TaskContext.get().partitionId(), 0, 0
+        parts: list[tuple] = []
+
+        def made() -> Iterator[pa.RecordBatch]:
+            nonlocal parts, size, k
+            ids = [i for p in parts for i in p[0]]
+            flags, tokens, sizes = (np.concatenate([p[j] for p in parts]) for j in (1, 2, 3))
+            parts = []
+            words, place = np.unique(tokens, return_inverse=True)
+            del tokens
+            train = np.repeat((flags & 4) > 0, sizes)
+            counts = np.bincount(place[train], minlength=len(words))
+            row = (pid << 32 | k, len(place), np.array([i or 0 for i in ids], "<i8").tobytes(), flags.tobytes(), _pack(sizes), _pack(place), _deltas(words), _pack(counts))
+            size, k = 0, k + 1
+            yield from _batches([row], BLOCKS)
+
+        for whole in batches:
+            for batch in (whole.slice(at, ROWS) for at in range(0, whole.num_rows, ROWS)):
+                ids, held, train, texts = (c.to_pylist() for c in batch.columns)
+                hashes, offsets = word_hashes([b"" if t is None else t.lower() for t in texts])
+                flags = np.array([(i is None) + 2 * h + 4 * t for i, h, t in zip(ids, held, train)], np.uint8)
+                tokens = np.insert(hashes, offsets[1:], END)
+                offsets = offsets + np.arange(len(offsets))
+                at, sizes = 0, np.diff(offsets)
+                while at < len(ids):
+                    upto = at
+                    while upto < len(ids) and (not size or size + sizes[upto] <= BLOCK_TOKENS):
+                        size += int(sizes[upto])
+                        upto += 1
+                    if upto > at:
+                        parts.append((ids[at:upto], flags[at:upto], tokens[offsets[at] : offsets[upto]], sizes[at:upto]))
+                        at = upto
+                    if at < len(ids):
+                        yield from made()
+        if parts:
+            yield from made()
+        release()
+
+    return docs.mapInArrow(run, BLOCKS)
+
+
+class Block:
+    """A row of the table of blocks."""
+
+    def __init__(self, row: dict) -> None:
+        self.number = row["block"]
+        self.sizes = _unpack(row["sizes"]).astype(np.int64)
+        self.tokens = _unpack(row["tokens"]).astype(np.int64)
+        self.words = _sums(row["words"])
+        self.heads = np.cumsum(self.sizes) - self.sizes
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for at in range(batch.num_rows):
+            yield batch.slice(at, 1).to_pylist()[0]
+
+
+def fetch(root: str, block: int) -> dict[int, tuple[bytes, bytes]]:
+    """What the owners answered to a block, by owner."""
+    from pyarrow.fs import FileSelector
+
+    fs, where = open_store(root)
+    out: dict[int, tuple[bytes, bytes]] = {}
+    for f in fs.get_file_info(FileSelector(f"{where}/block={block}", allow_not_found=True)):
+        if f.path.endswith(".parquet"):
+            t = pq.read_table(f.path, filesystem=fs, partitioning=None, columns=["part", "a", "b"])
+            out.update(zip(t["part"].to_pylist(), zip(t["a"].to_pylist(), t["b"].to_pylist())))
+    return out
+
+
+def save_replies(replies: DataFrame, scratch: Scratch, part: str) -> DataFrame:
+    """Write one file per block; what owners say to all is in block -1."""
+    return scratch.save(replies.repartition(partitions(scratch.spark), "block"), part, "block")
 
 
-def block_words(b: Block, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The block's words by (owner, hash), their counts in training documents, their owners."""
-    tokens = np.sort(b.tokens)
-    words = tokens[np.concatenate([[True], tokens[1:] != tokens[:-1]])]
-    train = np.sort(b.tokens[np.repeat(b.train, b.sizes)])
-    counts = np.searchsorted(train, words, "right") - np.searchsorted(train, words, "left")
-    part = owner(words, parts)
-    order = np.argsort(part, kind="stable")
-    return words[order], counts[order], part[order]
+# --- words ---------------------------------------------------------------------------------------
 
 
-def send_words(docs: DataFrame, parts: int) -> DataFrame:
+def send_words(blocks: DataFrame, parts: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches):
-            words, counts, part = block_words(b, parts)
-            yield from _rows([(0, p, b.number, b.mark, _deltas(words[i:j]), _pack(counts[i:j].astype("<u4")), b"", b"", b"", b"") for p, i, j in _slices(part, parts)])
+        for row in _rows(batches):
+            words, counts = _sums(row["words"]), _unpack(row["counts"])
+            yield from _batches([(p, row["block"], _deltas(words[i:j]), _pack(counts[i:j]), b"", b"", b"", b"") for p, i, j in _slices(owner(words, parts), parts)], MESSAGES)
+        release()
+
+    return blocks.select("block", "words", "counts").mapInArrow(run, MESSAGES)
 
-    return docs.mapInArrow(run, SCHEMA)
+
+def _summary(total: np.ndarray, more: int) -> bytes:
+    small = np.bincount(np.minimum(total, CUT + 2), minlength=CUT + 3)[: CUT + 2]
+    return np.concatenate([small, [total.sum(), (total > 0).sum(), more]]).astype("<i8").tobytes()
 
 
 def count_words(group: pd.DataFrame) -> pd.DataFrame:
-    """An owner's counts: kind 0 for each block in its order; kind 1 the counts of counts, tokens and words."""
+    """An owner's counts. Kind 0 for each block, in its order: counts, and places among the owner's words. Kind 1: counts
+    of counts, tokens, words in training, all words."""
     words = [_sums(x) for x in group["a"]]
-    counts = np.concatenate([_unpack(x, "<u4") for x in group["b"]]).astype(np.int64)
     every, where = np.unique(np.concatenate(words), return_inverse=True)
-    total = np.bincount(where, counts, len(every)).astype(np.int64)
+    total = np.bincount(where, np.concatenate([_unpack(x) for x in group["b"]]), len(every)).astype(np.int64)
     out, at, part = [], 0, int(group["part"].iloc[0])
-    for block, mark, w in zip(group["block"], group["mark"], words):
-        out.append((0, part, block, mark, _pack(total[where[at : at + len(w)]].astype("<u8")), b"", b"", b"", b"", b""))
+    for block, w in zip(group["block"], words):
+        mine = where[at : at + len(w)]
+        out.append((0, part, block, _pack(total[mine]), _pack(mine)))
         at += len(w)
-    small = np.bincount(np.minimum(total, CUT + 2), minlength=CUT + 3)[: CUT + 2]
-    out.append((1, part, -1, "", np.concatenate([small, [total.sum(), (total > 0).sum()]]).astype("<i8").tobytes(), b"", b"", b"", b"", b""))
-    return pd.DataFrame(out, columns=COLUMNS)
+    out.append((1, part, -1, _summary(total, len(every)), b""))
+    return pd.DataFrame(out, columns=["kind", "part", "block", "a", "b"])
 
 
-def totals(replies: DataFrame, kind: int) -> np.ndarray:
-    """Sums of the owners' small vectors, of CUT + 4 numbers."""
+def totals(replies: DataFrame) -> tuple[dict[int, int], int, int]:
+    """Over all owners: the counts of counts, tokens and distinct n-grams."""
+    names = [f"s{i}" for i in range(CUT + 5)]
 
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            x = sum((np.frombuffer(a, "<i8") for a in b["a"]), np.zeros(CUT + 4, np.int64))
-            yield pd.DataFrame({"k": range(CUT + 4), "x": x})
-
-    sums = replies.where(F.col("kind") == kind).select("a").mapInPandas(add, "k int, x long").groupBy("k").agg(F.sum("x")).collect()
-    out = np.zeros(CUT + 4, np.int64)
-    for k, x in sums:
-        out[k] = x
-    return out
+            yield pd.DataFrame(np.array([np.frombuffer(a, "<i8") for a in b["a"]]).reshape(-1, CUT + 5), columns=names)
 
-
-def fetch(root: str, b: Block) -> dict[int, tuple]:
-    """What the owners answered to a block, by owner."""
-    from pyarrow.fs import FileSelector
-
-    fs, where = open_store(root)
-    out: dict[int, tuple] = {}
-    for f in fs.get_file_info(FileSelector(f"{where}/block={b.number}", allow_not_found=True)):
-        if f.path.endswith(".parquet"):
-            t = pq.read_table(f.path, filesystem=fs, partitioning=None)
-            for part, mark, *x in zip(*(t.column(c).to_pylist() for c in ("part", "mark", "a", "b"))):
-                if mark != b.mark:
-                    raise ValueError("a task read other documents than before; write the table first")
-                out[part] = tuple(x)
-    return out
+    rows = replies.where("block = -1 and kind = 1").select("a").mapInPandas(read, ", ".join(f"{n} long" for n in names))
+    t = [int(x or 0) for x in rows.agg(*[F.sum(n) for n in names]).first()]
+    return {r: t[r] for r in range(1, CUT + 2)}, t[CUT + 2], t[CUT + 3]
 
 
-def word_counts(root: str, b: Block, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """The block's words in the order of their hashes, with global counts."""
-    words, _, part = block_words(b, parts)
-    got = fetch(root, b)
-    counts = np.concatenate([_unpack(got[p][0], "<u8") for p, _, _ in _slices(part, parts)]) if len(words) else np.zeros(0, "<u8")
-    order = np.argsort(words)
-    return words[order], counts[order].astype(np.int64)
+def word_numbers(replies: DataFrame, parts: int) -> np.ndarray:
+    """The first number of each owner's words: one number per owner."""
+    sizes = np.zeros(parts + 1, np.int64)
+    for r in replies.where("block = -1 and kind = 1").select("part", "a").toLocalIterator():
+        sizes[r.part + 1] = np.frombuffer(r.a, "<i8")[-1]
+    return np.cumsum(sizes)
 
 
-# --- pairs ---------------------------------------------------------------------------------------
+# --- n-grams -------------------------------------------------------------------------------------
 
 
 @dataclass
-class Pairs:
-    """The block's distinct pairs by (owner, context, hash): their place in the block's tokens, and what they are."""
+class Grams:
+    """The block's distinct n-grams of a level.
 
-    inverse: np.ndarray
+    before: of each token, its context, the last one standing for a text's start. place: of each token, its n-gram.
+    Of each n-gram: context, second (its last word), suffix (the n-gram of the level below), hash, count, part (owner);
+    order: n-grams by owner. stats: numbers of each context.
+    """
+
+    before: np.ndarray
+    place: np.ndarray
     context: np.ndarray
-    key: np.ndarray
-    count: np.ndarray
-    c1: np.ndarray
-    c2: np.ndarray
+    second: np.ndarray
+    suffix: np.ndarray
+    hash: np.ndarray
+    contexts: np.ndarray
+    hot: np.ndarray
     part: np.ndarray
+    order: np.ndarray
+    count: np.ndarray | None = None
+    stats: np.ndarray | None = None
+
+
+def words_of(b: Block, root: str, deal: Deal) -> tuple[Grams, np.ndarray]:
+    """The words of a block as n-grams of one word, and their numbers."""
+    got = fetch(root, b.number)
+    cuts = _slices(owner(b.words, deal.parts), deal.parts)
+    count = np.concatenate([_unpack(got[p][0]) for p, _, _ in cuts]).astype(np.int64)
+    number = np.concatenate([_unpack(got[p][1]).astype(np.int64) + deal.base[p] for p, _, _ in cuts])
+    none = np.zeros(0, np.int64)
+    return Grams(none, b.tokens, none, none, none, b.words, none, none, none, none, count), number
+
+
+def longer(b: Block, low: Grams, deal: Deal) -> Grams:
+    """The n-grams that are one word longer than those of ``low``, in the order of their contexts' hashes."""
+    n = len(low.hash)
+    before = np.empty(len(b.tokens), np.int64)
+    before[1:] = low.place[:-1]
+    before[b.heads] = n
+    contexts = np.append(low.hash, START)
+    by_hash = np.argsort(contexts)
+    rank = np.empty(n + 1, np.int64)
+    rank[by_hash] = np.arange(n + 1)
+    keys, place = np.unique(rank[before] * len(b.words) + b.tokens, return_inverse=True)
+    del rank
+    context = keys // len(b.words)
+    second = keys - context * len(b.words)
+    context = by_hash[context]
+    del keys, by_hash
+    suffix = np.empty(len(context), np.int64)
+    suffix[place] = low.place
+    hashes = mix64(contexts[context] * STEP + b.words[second])
+    hot = np.append(low.count, deal.starts)[context] > deal.limit
+    part = owner(contexts[context], deal.parts)
+    order = np.arange(len(part))
+    if hot.any():
+        part[hot] = owner(mix64(hashes[hot]), deal.parts)
+        order = np.argsort(part, kind="stable")
+    return Grams(before, place, context, second, suffix, hashes, contexts, hot, part, order)
+
+
+def answered(g: Grams, root: str, b: Block, deal: Deal, hot: dict[int, np.ndarray] | None, need_stats: bool) -> None:
+    """Put what the owners answered into g."""
+    got, context = fetch(root, b.number), g.context[g.order]
+    g.count = np.empty(len(context), np.int64)
+    if need_stats:
+        g.stats = np.zeros((STATS, len(g.contexts)), np.float64)
+    for p, i, j in _slices(g.part[g.order], deal.parts):
+        g.count[g.order[i:j]] = _unpack(got[p][0])
+        if need_stats:
+            heads = context[i:j][_first(context[i:j])]
+            g.stats[:, heads] = _unpack(got[p][1]).reshape(STATS, -1)
+    if need_stats and hot:
+        for c in np.unique(g.context[g.hot]).tolist():
+            g.stats[:, c] = hot[int(g.contexts[c])]
+
+
+def climb(b: Block, roots: list[str], deal: Deal, hots: list[dict] | None = None) -> tuple[list[Grams], np.ndarray]:
+    """The levels that have been counted: words, pairs, and so on; with ``hots``, the contexts' numbers too."""
+    grams, number = words_of(b, roots[0], deal)
+    levels = [grams]
+    for k, root in enumerate(roots[1:]):
+        levels.append(longer(b, levels[-1], deal))
+        answered(levels[-1], root, b, deal, hots[k] if hots else None, hots is not None)
+    return levels, number
+
+
+def send_grams(blocks: DataFrame, roots: list[str], deal: Deal) -> DataFrame:
+    """A block's n-grams by owner: contexts' hashes, their runs, words' numbers, training counts, the suffixes' global
+    counts, and whether the context is dealt by n-gram."""
 
-
-def block_pairs(b: Block, words: np.ndarray, counts: np.ndarray, starts: int, parts: int, limit: int) -> Pairs:
-    before, key, train = b.pairs()
-    order = np.argsort(key)
-    ranked = key[order]
-    first = np.concatenate([[True], ranked[1:] != ranked[:-1]])
-    places = np.flatnonzero(first)
-    seen = np.add.reduceat(train[order].astype(np.int64), places)
-    one = order[places]
-    context, second = before[one], b.tokens[one]
-    c2 = counts[np.searchsorted(words, second)]
-    at = np.minimum(np.searchsorted(words, context), len(words) - 1)
-    c1 = np.where(context == START, starts, counts[at])
-    part = owner(np.where(c1 > limit, ranked[places], context), parts)
-    deal = np.lexsort((context, part))
-    new = np.empty(len(deal), np.int64)
-    new[deal] = np.arange(len(deal))
-    inverse = np.empty(len(order), np.int64)
-    inverse[order] = new[np.cumsum(first) - 1]
-    return Pairs(inverse, context[deal], ranked[places][deal], seen[deal], c1[deal], c2[deal], part[deal])
-
-
-def _runs(context: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
-
-
-def send_pairs(docs: DataFrame, words_root: str, starts: int, parts: int, limit: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches):
-            x = block_pairs(b, *word_counts(words_root, b, parts), starts, parts, limit)
-            rows = []
-            for p, i, j in _slices(x.part, parts):
-                heads = _runs(x.context[i:j])
-                rows.append((0, p, b.number, b.mark, _deltas(x.context[i:j][heads]), _pack(np.diff(heads, append=j - i).astype("<u4")), _pack(x.key[i:j]), _pack(x.count[i:j].astype("<u4")), _pack(x.c2[i:j].astype("<u8")), _pack(x.c1[i:j][heads].astype("<u8"))))
-            yield from _rows(rows)
-
-    return docs.mapInArrow(run, SCHEMA)
-
-
-def count_pairs(unigrams: Unigrams, limit: int):
-    """An owner's pairs. Kind 0 for each block: the counts of its pairs, and per context of its pairs those seen r times
-    for r up to CUT, the sum of larger counts, and the sum of the seen words' own probabilities. Kind 1: counts of
-    counts. Kind 2: the contexts with the same three, for those that are dealt by pair."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        contexts, runs = [_sums(x) for x in group["a"]], [_unpack(x, "<u4").astype(np.int64) for x in group["b"]]
-        key = np.concatenate([_unpack(x, "<u8") for x in group["c"]])
-        count = np.concatenate([_unpack(x, "<u4") for x in group["d"]]).astype(np.int64)
-        c2 = np.concatenate([_unpack(x, "<u8") for x in group["e"]]).astype(np.int64)
-        context = np.concatenate([np.repeat(c, r) for c, r in zip(contexts, runs)])
-        order = np.argsort(key)
-        first = np.concatenate([[True], key[order][1:] != key[order][:-1]])
-        places = np.flatnonzero(first)
-        total = np.add.reduceat(count[order], places)
-        where = np.empty(len(order), np.int64)
-        where[order] = np.cumsum(first) - 1
-        one = order[places]
-        every, which = np.unique(context[one], return_inverse=True)
-        stats = np.zeros((CUT + 2, len(every)))
+        for row in _rows(batches):
+            b = Block(row)
+            levels, number = climb(b, roots, deal)
+            low = levels[-1]
+            del levels
+            g = longer(b, low, deal)
+            train = np.repeat((np.frombuffer(row["flags"], np.uint8) & 4) > 0, b.sizes)
+            seen = np.bincount(g.place[train], minlength=len(g.context))[g.order]
+            context, word, lower = g.context[g.order], number[g.second][g.order], low.count[g.suffix][g.order]
+            part, hot, contexts = g.part[g.order], g.hot[g.order], g.contexts
+            del g, low, train
+            for p, i, j in _slices(part, deal.parts):
+                heads = _first(context[i:j])
+                of = context[i:j][heads]
+                yield from _batches([(p, b.number, _deltas(contexts[of]), _pack(np.diff(heads, append=j - i)), _pack(word[i:j]), _pack(seen[i:j]), _pack(lower[i:j]), _pack(hot[i:j][heads]))], MESSAGES)
+        release()
+
+    return blocks.select("block", "flags", "sizes", "tokens", "words").mapInArrow(run, MESSAGES)
+
+
+def count_grams(group: pd.DataFrame) -> pd.DataFrame:
+    """An owner's n-grams. Kind 0 for each block: the counts of its n-grams, the numbers of their contexts. Kind 1: counts
+    of counts. Kind 2: hashes and numbers of the contexts that are dealt by n-gram."""
+    heads = [_sums(x) for x in group["a"]]
+    every, which = np.unique(np.concatenate(heads), return_inverse=True)
+    runs = [_unpack(x).astype(np.int64) for x in group["b"]]
+    key = np.repeat(which << WORD_BITS, np.concatenate(runs))
+    key |= np.concatenate([_unpack(x) for x in group["c"]]).astype(np.int64)
+    if len(every) >= 1 << 63 - WORD_BITS:
+        raise ValueError("an owner holds too many contexts")
+    order = np.argsort(key)
+    key = key[order]
+    first = _first(key)
+    total = np.add.reduceat(np.concatenate([_unpack(x) for x in group["d"]]).astype(np.int64)[order], first)
+    lower = np.concatenate([_unpack(x) for x in group["e"]]).astype(np.int64)[order[first]]
+    lower[total == 0] = 0
+    of = _first(key[first] >> WORD_BITS)
+    where = np.empty(len(order), np.int32)
+    where[order] = np.repeat(np.arange(len(first), dtype=np.int32), np.diff(first, append=len(order)))
+    del key, order, first
+    stats = np.empty((STATS, len(every)), np.uint64)
+    for k, x in enumerate((total, lower)):
         for r in range(1, CUT + 1):
-            stats[r - 1] = np.bincount(which, total == r, len(every))
-        stats[CUT] = np.bincount(which, np.where(total > CUT, total, 0), len(every))
-        stats[CUT + 1] = np.bincount(which, np.where(total > 0, unigrams.p(c2[one]), 0.0), len(every))
-        out, at, part = [], 0, int(group["part"].iloc[0])
-        for block, mark, c, r in zip(group["block"], group["mark"], contexts, runs):
-            n = int(r.sum())
-            mine = stats[:, np.searchsorted(every, c)]
-            out.append((0, part, block, mark, _pack(total[where[at : at + n]].astype("<u4")), _pack(mine.astype("<f8").ravel()), b"", b"", b"", b""))
-            at += n
-        c1 = np.concatenate([_unpack(x, "<u8") for x in group["f"]])
-        hot = np.unique(np.concatenate(contexts)[c1 > limit])
-        out.append((2, part, -1, "", _pack(hot), _pack(stats[:, np.searchsorted(every, hot)].ravel()), b"", b"", b"", b""))
-        small = np.bincount(np.minimum(total, CUT + 2), minlength=CUT + 3)[: CUT + 2]
-        out.append((1, part, -1, "", np.concatenate([small, [total.sum(), (total > 0).sum()]]).astype("<i8").tobytes(), b"", b"", b"", b"", b""))
-        return pd.DataFrame(out, columns=COLUMNS)
-
-    return run
+            stats[k * (CUT + 1) + r - 1] = np.add.reduceat(x == r, of, dtype=np.int64)
+        stats[k * (CUT + 1) + CUT] = np.add.reduceat(np.where(x > CUT, x, 0), of)
+    if stats.max(initial=0) < 1 << 32:
+        stats = stats.astype(np.uint32)
+    out, at, head, part = [], 0, 0, int(group["part"].iloc[0])
+    for block, r in zip(group["block"], runs):
+        n = int(r.sum())
+        out.append((0, part, block, _pack(total[where[at : at + n]]), _pack(stats[:, which[head : head + len(r)]].ravel())))
+        at, head = at + n, head + len(r)
+    hot = np.unique(which[np.concatenate([_unpack(x) for x in group["f"]]) > 0])
+    if len(hot):
+        out.append((2, part, -1, _pack(every[hot]), _pack(stats[:, hot].ravel())))
+    out.append((1, part, -1, _summary(total, 0), b""))
+    del stats, where, which, every, total, lower
+    release()
+    return pd.DataFrame(out, columns=["kind", "part", "block", "a", "b"])
 
 
 def hot_contexts(replies: DataFrame) -> dict[int, np.ndarray]:
-    """The sums over the owners for the contexts that are dealt by pair: 4 * owners at most."""
-    names = [f"s{i}" for i in range(CUT + 2)]
+    """The sums over the owners for the contexts that are dealt by n-gram: two per owner at most."""
+    names = [f"s{i}" for i in range(STATS)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for h, stats in zip(b["a"], b["b"]):
-                h = _unpack(h, "<u8").astype(np.int64)
-                yield pd.DataFrame({"h": h} | dict(zip(names, _unpack(stats, "<f8").reshape(CUT + 2, len(h)))))
+                h = _unpack(h).astype(np.uint64).astype(np.int64)
+                yield pd.DataFrame({"h": h} | dict(zip(names, _unpack(stats).reshape(STATS, len(h)).astype(np.int64))))
 
-    rows = replies.where("kind = 2").select("a", "b").mapInPandas(run, ", ".join(["h long", *(f"{n} double" for n in names)]))
+    rows = replies.where("block = -1 and kind = 2").select("a", "b").mapInPandas(run, ", ".join(["h long", *(f"{n} long" for n in names)]))
     found = rows.groupBy("h").agg(*[F.sum(n) for n in names]).collect()
-    return {r[0] % (1 << 64): np.array(r[1:]) for r in found}
+    return {r[0] % (1 << 64): np.array(r[1:], np.float64) for r in found}
 
 
-def score_blocks(docs: DataFrame, words_root: str, pairs_root: str, unigrams: Unigrams, d2: np.ndarray, starts: int, hot: dict[int, np.ndarray], parts: int, limit: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches):
-            x = block_pairs(b, *word_counts(words_root, b, parts), starts, parts, limit)
-            got = fetch(pairs_root, b)
-            counts, alphas, wholes = [], [], []
-            for p, i, j in _slices(x.part, parts):
-                counts.append(_unpack(got[p][0], "<u4").astype(np.int64))
-                heads = _runs(x.context[i:j])
-                stats = _unpack(got[p][1], "<f8").reshape(CUT + 2, -1).copy()
-                for k, h in enumerate(x.context[i:j][heads].tolist()) if hot else ():
-                    if h in hot:
-                        stats[:, k] = hot[h]
-                alpha, whole = backoff(stats, x.c1[i:j][heads], d2)
-                spread = np.diff(heads, append=j - i)
-                alphas.append(np.repeat(alpha, spread))
-                wholes.append(np.repeat(whole, spread))
-            if not counts:
-                continue
-            c12 = np.concatenate(counts)
-            p = np.where(c12 > 0, d2[np.minimum(c12, CUT + 1)] * c12 / np.concatenate(wholes), np.concatenate(alphas) * unigrams.p(x.c2))
-            doc = np.repeat(np.arange(len(b.ids)), b.sizes)
-            add = lambda per_pair: np.bincount(doc, per_pair[x.inverse], len(b.ids))
-            yield pa.RecordBatch.from_arrays([
-                pa.array(b.ids, pa.int64()), pa.array(b.held), pa.array(b.sizes.astype(np.int64)), pa.array(add((x.c2 > 0).astype(float)).astype(np.int64)),
-                pa.array(np.full(len(b.ids), unigrams.n, np.int64)), pa.array(add(unigrams.base(x.c2))), pa.array(add(np.log10(p))),
-            ], [f.split()[0] for f in OUT.split(", ")])
-
-    return docs.mapInArrow(run, OUT)
+# --- scores --------------------------------------------------------------------------------------
 
 
-def backoff(stats: np.ndarray, c1: np.ndarray, d2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def backoff(stats: np.ndarray, d: np.ndarray, low_d: np.ndarray, low_whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Per context, its backoff weight and the number that its discounted counts are divided by.
 
-    The weight is the mass that discounting frees over that of the words not seen after the context, so that all
-    probabilities sum to 1. A context that has no small count to discount counts one more, unseen token.
+    The weight is the mass that discounting frees over the lower level's mass of the words not seen after the context, so
+    that all probabilities sum to 1. A context that has no small count to discount counts one more, unseen token.
     """
-    seen = (d2[1 : CUT + 1] * np.arange(1, CUT + 1)) @ stats[:CUT] + d2[CUT + 1] * stats[CUT]
-    whole = np.maximum(c1 + (stats[:CUT].sum(0) == 0), 1).astype(float)
-    return np.where(c1 > 0, (1 - seen / whole) / (1 - stats[CUT + 1]), 1.0), whole
+    size = np.arange(1, CUT + 1)
+    of = lambda s: size @ s[:CUT] + s[CUT]
+    kept = lambda s, d: (d[1 : CUT + 1] * size) @ s[:CUT] + d[CUT + 1] * s[CUT]
+    mine, below = stats[: CUT + 1], stats[CUT + 1 :]
+    count = of(mine)
+    whole = np.maximum(count + (mine[:CUT].sum(0) == 0), 1)
+    return np.where(count > 0, (1 - kept(mine, d) / whole) / (1 - kept(below, low_d) / low_whole), 1.0), whole
+
+
+def probabilities(levels: list[Grams], unigrams: Unigrams, ds: list[np.ndarray]) -> np.ndarray:
+    """Of each n-gram of the last level, the probability of its last word after the others: level by level, seen n-grams
+    by their discounted counts, others by the weight of their context times the probability of their suffix."""
+    p, d, whole = unigrams.p(levels[0].count), unigrams.d, None
+    for k, (g, d_k) in enumerate(zip(levels[1:], ds)):
+        if whole is None:
+            low_whole = np.full(len(g.contexts), max(unigrams.n, 1), np.float64)
+        else:  # of the context without its first word
+            shorter = np.zeros(len(g.contexts), np.int64)
+            shorter[g.before] = levels[k].before
+            low_whole = whole[shorter]
+        alpha, whole = backoff(g.stats, d_k, d, low_whole)
+        p = np.where(g.count > 0, d_k[np.minimum(g.count, CUT + 1)] * g.count / whole[g.context], alpha[g.context] * p[g.suffix])
+        d = d_k
+    return p
+
+
+def score_blocks(blocks: DataFrame, roots: list[str], unigrams: Unigrams, ds: list[np.ndarray], hots: list[dict], deal: Deal) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            b, flags = Block(row), np.frombuffer(row["flags"], np.uint8)
+            levels, _ = climb(b, roots, deal, hots)
+            n = len(b.sizes)
+            doc = np.repeat(np.arange(n), b.sizes)
+            add = lambda x: np.bincount(doc, x, n)
+            c = levels[0].count
+            score = add(np.log10(probabilities(levels, unigrams, ds))[levels[-1].place])
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.frombuffer(row["ids"], "<i8"), pa.int64(), mask=(flags & 1) > 0), pa.array((flags & 2) > 0), pa.array(b.sizes, pa.int64()), pa.array(add((c > 0).astype(float)[b.tokens]).astype(np.int64)),
+                pa.array(np.full(n, unigrams.n, np.int64)), pa.array(add(unigrams.base(c)[b.tokens])), pa.array(score),
+            ], [f.split()[0] for f in OUT.split(", ")])
+            del levels, b
+        release()
+
+    return blocks.select("block", "ids", "flags", "sizes", "tokens", "words").mapInArrow(run, OUT)
 
 
-def lm_scores(docs: DataFrame, folds: int = 10) -> DataFrame:
+def lm_scores(docs: DataFrame, folds: int = 10, order: int = ORDER) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    Training takes the rows whose crc32(doc_id as text) mod ``folds`` is not 0. Null text is empty: one token, the end. A
-    null doc_id is neither learned from nor held out. Repeated rows count each time. Without training rows all words
-    are unseen, with probability 1 as one class. An empty table gives no rows. Other columns are not read. docs must
-    read the same rows again (a table).
+    Training takes the rows whose crc32(doc_id as text) mod ``folds`` is not 0. Contexts reach up to order - 1 words back, and
+    before a text's first word stand as many marks of its start. Null text is empty: one token, the end. A null doc_id is
+    neither learned from nor held out. Repeated rows count each time. Without training rows all words are unseen, with
+    probability 1 as one class. An empty table gives no rows. Other columns are not read, whatever their names. One
+    document's tokens must fit a task.
     """
     spark = docs.sparkSession
-    small_batches(spark)
-    scratch, parts = Scratch(spark, "katz"), partitions(spark)
+    scratch = Scratch(spark, "katz")
     rest = F.crc32(F.col("doc_id").cast("string")) % folds
     flag = lambda c: F.coalesce(c, F.lit(False))
-    docs = docs.select(F.col("doc_id").cast("long"), flag(rest == 0).alias("held_out"), flag(rest != 0).alias("train"), F.encode("text", "UTF-8").alias("text"))
-    starts = docs.where("train").count()
-    words = scratch.save(send_words(docs, parts).groupBy("part").applyInPandas(count_words, SCHEMA), "words", "block")
-    t = totals(words, 1)
-    unigrams = Unigrams.of({r: int(t[r]) for r in range(1, CUT + 2)}, int(t[CUT + 2]), int(t[CUT + 3]))
-    limit = max(1, unigrams.n // (4 * parts))
-    sent = send_pairs(docs, scratch.path("words"), starts, parts, limit)
-    pairs = scratch.save(sent.groupBy("part").applyInPandas(count_pairs(unigrams, limit), SCHEMA), "pairs", "block")
-    t = totals(pairs, 1)
-    d2 = discounts({r: int(t[r]) for r in range(1, CUT + 2)})
-    return score_blocks(docs, scratch.path("words"), scratch.path("pairs"), unigrams, d2, starts, hot_contexts(pairs), parts, limit)
+    rows = docs.select(F.col("doc_id").cast("long"), flag(rest == 0).alias("held_out"), flag(rest != 0).alias("train"), F.encode("text", "UTF-8").alias("text"))
+    blocks = scratch.save(tokenize(rows), "blocks")
+    starts = rows.where("train").count()
+    parts = max(partitions(spark), -(-(blocks.agg(F.sum("n")).first()[0] or 0) // OWNER_TOKENS))
+    words = save_replies(send_words(blocks, parts).groupBy("part").applyInPandas(count_words, REPLIES), scratch, "level1")
+    small, n, v = totals(words)
+    unigrams = Unigrams.of(small, n, v)
+    deal = Deal(parts, word_numbers(words, parts), starts, max(1, n // (2 * parts)))
+    roots, ds, hots = [scratch.path("level1")], [], []
+    for k in range(2, order + 1):
+        replies = save_replies(send_grams(blocks, roots, deal).groupBy("part").applyInPandas(count_grams, REPLIES), scratch, f"level{k}")
+        ds.append(discounts(totals(replies)[0]))
+        hots.append(hot_contexts(replies))
+        roots.append(scratch.path(f"level{k}"))
+    return score_blocks(blocks, roots, unigrams, ds, hots, deal)
 
 
 def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

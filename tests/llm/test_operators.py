@@ -2,8 +2,11 @@
 
 import base64
 import hashlib
+import json
 import math
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -139,42 +142,118 @@ def test_bpe_and_files(docs):
         start += len(ids) + 1
 
 
-@pytest.mark.parametrize(("n", "v"), [(0, 5), (1, 5), (10, 5), (5000, 300), (100_000, 50_000)])
+@pytest.mark.parametrize(("n", "v"), [(0, 5), (1, 5), (10, 5), (5000, 300), (100_000, 50_000), (400_000, 150_000)])
 def test_huffman_round_trip(n, v):
-    ids = np.minimum(np.random.default_rng(n).zipf(1.2, n) - 1, v - 1).astype(np.uint32)
-    lengths = huffman.code_lengths(np.bincount(ids, minlength=v))
-    codes, symbol, size = huffman.canonical(lengths)
-    assert lengths.max() <= huffman.MAX_BITS and sum(2.0 ** -int(x) for x in lengths if x) <= 1
-    assert (huffman.unpack(*huffman.pack(ids, codes, lengths), n, symbol, size) == ids).all()
-
-
-def test_lm_is_normalised(docs):
-    got = by_id(katz.lm_scores(docs))
-    sents = {r[0]: [*words((r[1] or "").translate(LOWER)), None] for r in ROWS}
-    learn = [i for i in sents if zlib.crc32(str(i).encode()) % 10]
-    uni = Counter(w for i in learn for w in sents[i])
-    pair = Counter(p for i in learn for p in zip([0, *sents[i]], sents[i]))
-    n, v = sum(uni.values()), len(uni)
-    model, d2 = katz.Unigrams.of(Counter(uni.values()), n, v), katz.discounts(Counter(pair.values()))
-    p1 = lambda w: float(model.p(np.array([uni[w]]))[0])
-    after = defaultdict(dict)
-    for (h, w), c in pair.items():
-        after[h][w] = c
-    def p2(h, w):
-        seen = after.get(h)
-        if not seen:
-            return p1(w)
-        whole = sum(seen.values()) + (min(seen.values()) > katz.CUT)
-        use = {x: d2[min(c, katz.CUT + 1)] * c / whole for x, c in seen.items()}
-        return use[w] if w in use else (1 - sum(use.values())) / (1 - sum(map(p1, use))) * p1(w)
-    for h in list(after)[:6]:
-        assert math.isclose(sum(p2(h, w) for w in uni) + p2(h, "unseen!"), 1, rel_tol=1e-9)
+    rng = np.random.default_rng(n)
+    ids = (rng.permutation(v).repeat(3)[:n] if v > 65_536 else np.minimum(rng.zipf(1.2, n) - 1, v - 1)).astype(np.uint32)
+    code = huffman.Code(huffman.code_lengths(np.bincount(ids, minlength=v)))
+    assert code.lengths.max() <= code.bits <= 24 and sum(2.0 ** -int(x) for x in code.lengths if x) <= 1
+    assert (code.bits > 16) == (v > 65_536)
+    data, offsets = huffman.pack(ids, code)
+    assert (huffman.unpack(data, offsets, n, code) == ids).all()
+
+
+def test_token_files_are_read_alone(spark, docs, tmp_path, monkeypatch):
+    """A new process decodes a file, and single documents of it by their blocks, from its path alone."""
+    monkeypatch.setattr(huffman, "FRAME", 3000)
+    files, _ = huffman.write_tokens(docs, common.Scratch(spark, "t"), bpe.vocabulary())
+    want = {r[0]: [*bpe.encode([r[1] or ""], bpe.vocabulary())[0].tolist(), 0] for r in ROWS}
+    code = """
+import sys, json
+from sluice.llm import huffman
+for path in sys.argv[1:]:
+    place = 0
+    for ids, docs in huffman.read_frames(path):
+        for i, d in zip(ids, docs):
+            one, alone = huffman.read_document(path, place)
+            print(json.dumps([i, d.tolist(), one, alone.tolist()]))
+            place += 1
+"""
+    out = subprocess.run([sys.executable, "-c", code, *[r.path for r in files.collect()]], capture_output=True, text=True, check=True).stdout
+    got = [json.loads(line) for line in out.splitlines()]
+    assert all(i == j and d == e for i, d, j, e in got) and {i: d for i, d, _, _ in got} == want
+
+
+def test_tokenizer_files_of_other_rules_are_refused(tmp_path):
+    spec = json.load(open(bpe.vocabulary()))
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}):
+        (tmp_path / "t.json").write_text(json.dumps(spec | change))
+        with pytest.raises(ValueError):
+            bpe.ByteBPE(str(tmp_path / "t.json"))
+
+
+def good_turing(counts):
+    """Discounts of counts 1 to 5 from the formula; where it gives none below 1, half of one count."""
+    n = Counter(counts)
+    lost = 6 * n[6] / n[1] if n[1] else 1.0
+    out = {}
+    for r in range(1, 6):
+        d = ((r + 1) * n[r + 1] / (r * n[r]) - lost) / (1 - lost) if n[r] and lost < 1 else 0
+        out[r] = d if 0 < d < 1 else (r - 0.5) / r
+    return out
+
+
+class Model:
+    """Katz backoff by the book, over dictionaries; texts are padded with marks of their start."""
+
+    def __init__(self, sents, order):
+        self.order, self.tables = order, []
+        for k in range(1, order + 1):
+            padded = [["<s>"] * (k - 1) + s for s in sents]
+            count = Counter(tuple(s[i : i + k]) for s in padded for i in range(len(s) - k + 1))
+            after = defaultdict(dict)
+            for g, c in count.items():
+                after[g[:-1]][g[-1]] = c
+            self.tables.append((after, good_turing(count.values())))
+        self.n = sum(self.tables[0][0][()].values())
+
+    def weights(self, k, h):
+        after, d = self.tables[k - 1]
+        seen = after[h]
+        whole = sum(seen.values()) + (min(seen.values()) > 5 if k > 1 else 0)
+        return {w: d.get(c, 1.0) * c / whole for w, c in seen.items()}
+
+    def p(self, h, w):
+        k = len(h) + 1
+        if not self.tables[k - 1][0].get(h):
+            return self.p(h[1:], w) if k > 1 else 1.0
+        use = self.weights(k, h)
+        if w in use:
+            return use[w]
+        left = 1 - sum(use.values())
+        return left if k == 1 else left / (1 - sum(self.p(h[1:], x) for x in use)) * self.p(h[1:], w)
+
+    def score(self, s):
+        padded = ["<s>"] * (self.order - 1) + s
+        known = {}
+        total = 0.0
+        for i in range(len(s)):
+            g = tuple(padded[i : i + self.order])
+            if g not in known:
+                known[g] = math.log10(self.p(g[:-1], g[-1]))
+            total += known[g]
+        return total
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_lm_against_the_book(docs, monkeypatch, order):
+    """Every document, the long ones too, cut into small blocks; and the model sums to 1 after any context."""
+    monkeypatch.setattr(katz, "BLOCK_TOKENS", 1500)
+    monkeypatch.setattr(katz, "OWNER_TOKENS", 1000)
+    got = by_id(katz.lm_scores(docs, order=order))
+    sents = {r[0]: [*words((r[1] or "").translate(LOWER)), "</s>"] for r in ROWS}
+    learn = [s for i, s in sents.items() if zlib.crc32(str(i).encode()) % 10]
+    model = Model(learn, order)
+    uni = model.tables[0][0][()]
+    n, v = model.n, len(uni)
+    for after, _ in model.tables:
+        for h in list(after)[:4]:
+            assert math.isclose(sum(model.p(h, w) for w in uni) + model.p(h, "unseen!"), 1, rel_tol=1e-9)
     for i, s in sents.items():
         x = got[i]
         assert (x.held_out, x.n_tokens, x.n_known, x.train_tokens) == (zlib.crc32(str(i).encode()) % 10 == 0, len(s), sum(w in uni for w in s), n)
-        assert math.isclose(x.base_score, sum(math.log10((uni[w] + 0.1) / (n + 0.1 * (v + 1))) for w in s), rel_tol=1e-9)
-        if len(s) < 500:
-            assert math.isclose(x.score, sum(math.log10(p2(h, w)) for h, w in zip([0, *s], s)), rel_tol=1e-6)
+        assert math.isclose(x.base_score, sum(math.log10((uni.get(w, 0) + 0.1) / (n + 0.1 * (v + 1))) for w in s), rel_tol=1e-9)
+        assert math.isclose(x.score, model.score(s), rel_tol=1e-9), (i, x.score, model.score(s))
 
 
 def test_quality(docs):
