@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,13 +16,15 @@ from .common import release, small_batches, table
 
 #: Units per direction, bytes per segment, segments side by side.
 UNITS, STEPS, LANES = 8, 64, 4096
-#: Documents per language in the training sample, and characters of a passage of each.
-SAMPLE_DOCS, SAMPLE_CHARS = 1500, 256
+#: Documents per language in the training sample, and characters of a passage of each; documents of all languages.
+SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_ALL = 1500, 256, 30_000
+#: More languages than this are refused: the sample would hold too few documents of each.
+MAX_LANGS = 1000
 ROUNDS, BATCH, RATE = 300, 96, 0.02
-#: Up to so many languages, their thresholds are broadcast; beyond, they are joined by a shuffle.
-BROADCAST_LANGS = 10_000
 NO_LANGUAGE = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+#: What the pipeline's stage asks of a document: its best label's probability, averaged over all bytes.
+MIN_SCORE = 0.5
+_LETTER = regex.compile(r"\p{L}")
 
 
 @dataclass
@@ -101,7 +103,8 @@ def gradients(net: Net, data: np.ndarray, label: np.ndarray) -> tuple[float, dic
 
 
 def train(samples: list[tuple[bytes, str]], seed: int = 5, rounds: int = ROUNDS) -> Net:
-    """Adam over random windows of the samples, languages in equal shares."""
+    """Adam over random windows of the samples, languages in equal shares: rounds take them in turn, and there are as many
+    more rounds as a batch can't hold all languages."""
     langs = sorted({lang for _, lang in samples})
     net, rng = new_net(langs, seed), np.random.default_rng(seed)
     if len(langs) < 2:
@@ -109,8 +112,9 @@ def train(samples: list[tuple[bytes, str]], seed: int = 5, rounds: int = ROUNDS)
     pools = [[np.frombuffer(t, np.uint8) for t, lang in samples if lang == x] for x in langs]
     m = {n: np.zeros_like(a) for n, a in net.p.items()}
     v = {n: np.zeros_like(a) for n, a in net.p.items()}
+    rounds *= -(-len(langs) // BATCH)
     for i in range(1, rounds + 1):
-        label = np.arange(BATCH) % len(langs)
+        label = (np.arange(BATCH) + (i - 1) * BATCH) % len(langs)
         rows = []
         for k in label:
             t = pools[k][rng.integers(len(pools[k]))]
@@ -210,25 +214,27 @@ class Reader:
 def learn(docs: DataFrame, folds: int = 5, seed: int = 5) -> Net | None:
     """Train on documents whose crc32(doc_id as text) mod ``folds`` is not 0 and whose text and lang aren't null.
 
-    The sample is bounded: SAMPLE_DOCS documents of each language in a seeded order, of each a passage of
-    SAMPLE_CHARS characters from a seeded place; equal rows count once. The order is of a hash, so its first
-    4 * SAMPLE_DOCS rows or so are those below a threshold that follows from the language's number of rows: only
-    these are shuffled, whatever share of all rows a language has.
+    The sample is bounded: SAMPLE_DOCS documents of each language in a seeded order, SAMPLE_ALL of all, of each a passage
+    of SAMPLE_CHARS characters from a seeded place; equal rows count once. The order is of a hash, so a language's first
+    rows are those below a threshold that follows from its number of rows (four times as many as needed): only these are
+    shuffled, whatever share of all rows a language has. More than MAX_LANGS languages raise an error.
     """
     usable = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % folds != 0))
     hashed = usable.select("lang", "text", F.xxhash64(F.lit(seed), "doc_id", "text").alias("h"))
     counts = hashed.groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("low"))
-    share = F.least(F.lit(1.0), F.lit(4.0 * SAMPLE_DOCS) / F.col("n"))
-    upto = F.when(share < 1, (share * 2.0**64 - 2.0**63).cast("long")).otherwise(2**63 - 1)
-    bounds = counts.select("lang", F.greatest("low", upto).alias("upto"))
-    known = bounds.take(BROADCAST_LANGS + 1)
-    if len(known) <= BROADCAST_LANGS:
-        bounds = F.broadcast(docs.sparkSession.createDataFrame(known, bounds.schema))
+    known = counts.take(MAX_LANGS + 1)
+    if len(known) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages")
+    if not known:
+        return None
+    most = min(SAMPLE_DOCS, max(1, SAMPLE_ALL // len(known)))
+    upto = lambda n: int(4 * most / n * 2**64 - 2**63) if 4 * most < n else 2**63 - 1
+    bounds = F.broadcast(docs.sparkSession.createDataFrame([(r.lang, max(r.low, upto(r.n))) for r in known], "lang string, upto long"))  # MAX_LANGS rows
     room = F.greatest(F.char_length("text") - SAMPLE_CHARS + 1, F.lit(1))
     below = hashed.join(bounds, "lang").where(F.col("h") <= F.col("upto"))
     rows = below.select("lang", "h", F.col("text").substr((F.pmod("h", room) + 1).cast("int"), F.lit(SAMPLE_CHARS)).alias("t"))
     rows = rows.groupBy("lang", "h").agg(F.min("t").alias("t"))
-    first = rows.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("k") <= SAMPLE_DOCS)
+    first = rows.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("k") <= most)
     samples = [(r.t.encode(), r.lang) for r in first.orderBy("lang", "k").collect() if r.t]
     return train(samples, seed) if samples else None
 
@@ -268,11 +274,23 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages(table(spark, sf_dir, "documents"))
 
 
-def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language: those predicted ``und`` go.
+def known_languages(docs: DataFrame, net: Net | None, min_score: float = MIN_SCORE, keep: tuple[str, ...] | None = None) -> DataFrame:
+    """docs whose predicted language is one of ``keep`` (None: any learned one) with a score of at least ``min_score``.
 
-    These are null texts and texts without letters, or all if nothing was learned; other labels and scores reject nothing.
+    Null text, text without letters, and all text if nothing was learned are ``und`` and go. Null and repeated ids and
+    repeated rows are judged row by row; an empty table stays empty; columns may have any names, and all are returned.
     """
+    name = "__p"
+    while name in docs.columns:
+        name += "_"
+    marked = docs.withColumn(name, identify(F.col("text"), net))
+    p = F.col(name)
+    good = (p["lang_pred"] != NO_LANGUAGE) & (p["score"] >= min_score)
+    good = good & p["lang_pred"].isin(list(keep)) if keep is not None else good
+    return marked.where(good).select(*[f"`{c}`" for c in docs.columns])
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the network places in a learned language; see ``known_languages``."""
     small_batches(spark)
-    marked = docs.withColumn("__p", identify(F.col("text"), learn(docs)))
-    return marked.where(F.col("__p.lang_pred") != NO_LANGUAGE).select(*docs.columns)
+    return known_languages(docs, learn(docs))

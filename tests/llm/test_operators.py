@@ -354,9 +354,8 @@ def test_language_sample_is_bounded_and_repeatable(spark, monkeypatch):
     monkeypatch.setattr(langid, "train", lambda samples, seed: seen.append(samples))
     monkeypatch.setattr(langid, "SAMPLE_DOCS", 20)
     rows = [(i, f"text {i}", "en" if i % 10 else "de") for i in range(3000)] + [(1, "same", "fr")] * 500
-    for limit in (10_000, 0):
-        monkeypatch.setattr(langid, "BROADCAST_LANGS", limit)
-        langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(7))
+    for parts in (7, 3):
+        langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(parts))
     assert seen[0] == seen[1]
     count = {x: sum(lang == x for _, lang in seen[0]) for x in ("en", "de", "fr")}
     assert count["en"] == count["de"] == 20 and count["fr"] == (zlib.crc32(b"1") % 5 != 0)
@@ -382,17 +381,3 @@ def test_long_words_hash_alike():
     texts = [b"a b " + giant + b" c", b"", b"a " * common.PIECE, giant]
     hashes, offsets = common.word_hashes(texts)
     assert np.diff(offsets).tolist() == [4, 0, common.PIECE, 1] and hashes[2] == hashes[-1] and hashes[0] == hashes[4]
-
-
-def test_pipeline_follows_its_operators(spark, docs, tmp_path):
-    import corpus_pipeline
-
-    docs.write.parquet(str(tmp_path / "documents.parquet"))
-    kept = spark.read.parquet(str(tmp_path / "documents.parquet"))
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, kept, str(tmp_path))
-        assert out.columns == docs.columns
-        out.write.mode("overwrite").parquet(str(tmp_path / f"s{len(stage.__name__)}"))
-        kept = spark.read.parquet(str(tmp_path / f"s{len(stage.__name__)}"))
-    want = sorted((r.doc_id, len(bpe.encode([r.text], bpe.vocabulary())[0])) for r in kept.collect())
-    assert sorted((r.doc_id, r.n_tokens) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == want
