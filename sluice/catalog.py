@@ -84,7 +84,13 @@ add("array_index", "select vec_id, embedding[0] a, embedding.size n from embeddi
 add("row_index_elapsed", "select event_id, row.index i, row.elapsed ms from events",
     "select event_id, row_number() over (order by ts, event_id) i, epoch_us(ts) // 1000 - lag(epoch_us(ts) // 1000) over (order by ts, event_id) ms from events")
 # --- distinct, sort, limit, set operations ---------------------------------------------------------
-add("distinct_input_row", "select distinct n_regionkey from nation", "select n_regionkey from nation")
+add("distinct_input_row", "select distinct u from (select user_id u, event_type t from events) x", "select u from (select distinct user_id u, event_type t from events)")
+add("star_with_items", "select n_nationkey * 2 twice, * from nation", "select n_nationkey * 2 twice, * from nation")
+add("scalar_subquery_item", "select k, x.c c from (select n.n_nationkey k, (select count(1) c from supplier s where s.s_nationkey = n.n_nationkey) x from nation n) z",
+    "select n_nationkey k, (select count(1) from supplier where s_nationkey = n_nationkey) c from nation")
+add("with_names", "with big as (select o_custkey k, o_totalprice p from orders where o_totalprice > 1000), per(k, n) as (select k, count(1) c from big group by k) select c.c_name name, per.n n from per join customer c on c.c_custkey = per.k",
+    "with big as (select o_custkey k from orders where o_totalprice > 1000), per as (select k, count(1) n from big group by k) select c_name name, n from per join customer on c_custkey = k")
+add("no_from", "select 1 + 1 two, upper('a') a", "select cast(2 as bigint) two, 'A' a")
 add("distinct_on", "select distinct on (user_id) user_id, event_id from events",
     "select user_id, event_id from (select *, row_number() over (partition by user_id order by ts, event_id) rn from events) where rn = 1")
 add("order_nulls", "select event_id, case when event_type = 'error' then null else value end v from events order by v desc nulls last, event_id limit 40",
@@ -108,6 +114,12 @@ add("join_right_ansi", "/*+ mode(ansi) */ select n.n_nationkey nk, r.r_regionkey
 add("join_cross", "select count(1) c from nation cross join region")
 add("join_theta", "select s.s_suppkey k, count(1) c from supplier s join nation n on s.s_nationkey < n.n_nationkey group by s.s_suppkey",
     "select s_suppkey k, count(1) c from supplier join nation on s_nationkey < n_nationkey group by s_suppkey")
+add("join_using", "/*+ mode(ansi) */ select k, x.a a, y.b b from (select n_regionkey k, n_nationkey a from nation where n_regionkey > 0) x full join (select r_regionkey k, r_name b from region where r_regionkey < 4) y using (k)",
+    "select k, a, b from (select n_regionkey k, n_nationkey a from nation where n_regionkey > 0) full join (select r_regionkey k, r_name b from region where r_regionkey < 4) using (k)")
+add("join_semi_anti", "/*+ mode(ansi) */ select c_custkey k from (select c.c_custkey c_custkey from customer c left semi join orders o on o.o_custkey = c.c_custkey) x left anti join supplier s on s.s_suppkey = x.c_custkey",
+    "select c_custkey k from customer where c_custkey in (select o_custkey from orders) and c_custkey not in (select s_suppkey from supplier)")
+add("join_paren_from", "select x.n_name a from (nation) x join (region) r on x.n_regionkey = r.r_regionkey where r.r_name like 'A%'", "select n_name a from nation join region on n_regionkey = r_regionkey where r_name like 'A%'")
+add("set_op_top", "select n_regionkey k from nation minus select r_regionkey k from region where r_regionkey > 1", "select n_regionkey k from nation except select r_regionkey from region where r_regionkey > 1")
 add("join_lateral", "select n.n_nationkey nk, x.k from nation n left join (select s.s_suppkey k from supplier s where s.s_nationkey = n.n_nationkey and s.s_acctbal > 0) x",
     "select n_nationkey nk, s_suppkey \"x.k\" from nation left join supplier on s_nationkey = n_nationkey and s_acctbal > 0")
 add("exists", "select c_custkey from customer where exists (select 1 from orders o where o.o_custkey = customer.c_custkey and o.o_totalprice > 1000)",
@@ -140,8 +152,22 @@ add("take_first_then_last", "select take(event_id, 3, -2) e from events group by
     "select event_id e, user_id from (select *, row_number() over (partition by user_id order by rn desc) r2 from (select *, row_number() over (partition by user_id order by ts, event_id) rn from events) where rn <= 3) where r2 <= 2")
 add("group_take", "select event_id, user_id from events group by user_id, take(1)", "select event_id, user_id from (select *, row_number() over (partition by user_id order by ts, event_id) rn from events) where rn = 1")
 add("collect_list_size", "select event_type, array_len(collect_list(event_id)) n from events group by event_type", "select event_type, count(1) n from events group by event_type")
-add("collect_list_struct", "select event_type, collect_list(event_id, user_id) l from events group by event_type", "")
-add("collect_row_map", "select event_type, collect_row(user_id, value) m from events group by event_type", "")
+add("collect_list_struct", "select event_type, to_json(collect_list(event_id, user_id)) l from events group by event_type",
+    "select event_type, cast(to_json(list({'event_id': event_id, 'user_id': user_id} order by ts, event_id)) as varchar) l from events group by event_type")
+add("collect_row_map", "select event_type, m.size n, math.max(m.values) hi, round(math.avg(m.values), 6) mean from (select event_type, collect_row(user_id, event_id) m from events group by event_type) x",
+    "select event_type, count(1) n, max(e)::double hi, floor(avg(e) * 1e6 + 0.5) / 1e6 mean from (select event_type, user_id, arg_max(event_id, (ts, event_id)) e from events group by all) group by event_type")
+add("collect_all_rows", "select o_orderstatus, array_len(l) n, l[0].o_orderkey first_key, l[2].o_custkey third from (select o_orderstatus, collect_list() l from orders group by o_orderstatus) x",
+    "select o_orderstatus, count(1) n, min(o_orderkey) first_key, min(o_custkey) filter (where rn = 3) third from (select *, row_number() over (partition by o_orderstatus order by o_orderkey) rn from orders) group by 1")
+add("collect_sub_select", "select event_type, to_json(collect_list((select event_id e, value * 2 v from events where value > 150))) l from events group by event_type",
+    "select event_type, coalesce('[' || string_agg('{\"e\":' || event_id || ',\"v\":' || cast(value * 2 as varchar) || '}', ',' order by ts, event_id) filter (where value > 150) || ']', '[]') l from events group by event_type")
+add("collect_modifiers", "select event_type, array_len(collect_list(distinct user_id)) d, array_len(collect_list(unique user_id)) u from events group by event_type",
+    "select event_type, count(1) d, count(1) filter (where n = 1) u from (select event_type, user_id, count(1) n from events group by all) group by 1")
+add("agg_modifiers", "select event_type, sum(unique user_id) su, max(unique user_id) hi, min(distinct user_id) lo, avg(distinct user_id) ad from events group by event_type",
+    "select event_type, cast(sum(user_id) filter (where n = 1) as double) su, max(user_id) filter (where n = 1) hi, min(user_id) lo, avg(user_id) ad from (select event_type, user_id, count(1) n from events group by all) group by 1")
+add("take_distinct", "select take(distinct event_type, 2) t from events group by user_id",
+    "select event_type t, user_id from (select *, row_number() over (partition by user_id order by o) rn from (select user_id, event_type, min((ts, event_id)) o from events group by all)) where rn <= 2")
+add("take_unique", "select take(unique event_type) t from events group by user_id",
+    "select event_type t, user_id from (select *, row_number() over (partition by user_id order by o) rn from (select user_id, event_type, min((ts, event_id)) o from events group by all having count(1) = 1)) where rn = 1")
 # --- windows ---------------------------------------------------------------------------------------
 add("tumbling_time", "select to_millis(_window_start) w, count(1) c from events group by _window('6h')", "select epoch_ms(time_bucket(interval '6 hours', ts, timestamp '1970-01-01')) w, count(1) c from events group by 1")
 add("interval_by_key", "select to_millis(_window_start) w, event_type, count(1) c from events group by interval('1d'), event_type", "select epoch_ms(date_trunc('day', ts)) w, event_type, count(1) c from events group by 1, 2")
@@ -153,8 +179,12 @@ add("sliding_count", "select _window_start w, sum(event_id) s from events group
     "select w, cast(sum(event_id) as double) s from (select event_id, unnest(range(greatest(0, cast(ceil((i - 29) / 10) as bigint)), i // 10 + 1)) w from (select event_id, row_number() over (order by ts, event_id) - 1 i from events)) group by w")
 add("count_window_by_key", "select event_type, _window_start w, count(1) c from events group by event_type, _window(50)",
     "select event_type, w, count(1) c from (select event_type, (row_number() over (partition by event_type order by ts, event_id) - 1) // 50 w from events) group by all")
-add("count_or_timeout", "select user_id, _window_start w, count(1) c from events group by user_id, _window(5, '2d')", "")
-add("trace_in_group", "select event_id, row.index i from events group by _window(50), trace(), take(1)", "")
+add("count_or_timeout", "select user_id, _window_start w, count(1) c from events group by user_id, _window(5, '2d')",
+    "with recursive e as (select user_id, ts, row_number() over (partition by user_id order by ts, event_id) i from events), n as (select a.user_id, a.i, coalesce(min(b.i), a.i + 5) nxt from e a left join e b on a.user_id = b.user_id and b.i > a.i and b.i <= a.i + 5 and (b.ts >= a.ts + interval '2 days' or b.i = a.i + 5) group by a.user_id, a.i), w as (select user_id, i, nxt, 0::bigint w from n where i = 1 union all select n.user_id, n.i, n.nxt, w.w + 1 from w join n on n.user_id = w.user_id and n.i = w.nxt) select w.user_id, w, count(1) c from w join e on e.user_id = w.user_id and e.i >= w.i and e.i < w.nxt group by w.user_id, w")
+add("trace_in_group", "select event_id, row.index i from events group by _window(50), trace(), take(3)",
+    "select arg_max(event_id, rn) event_id, max(rn % 50) + 1 i from (select event_id, row_number() over (order by ts, event_id) - 1 rn from events) where rn % 50 < 3 group by rn // 50")
+add("interval_empty", "/*+ interval.empty(true) */ select to_millis(_window_start) w, count(1) c from events group by interval('10m')",
+    "with b as (select time_bucket(interval '10 minutes', ts, timestamp '1970-01-01') w, count(1) c from events group by 1) select epoch_ms(s.w) w, coalesce(c, 0) c from (select unnest(generate_series((select min(w) from b), (select max(w) from b), interval '10 minutes')) w) s left join b using (w)")
 # --- several sources -------------------------------------------------------------------------------
 add("zip_two", "select a.event_id x, b.o_orderkey y from zip((select event_id, ts from events) a, (select o_orderkey from orders) b) z",
     "select event_id x, o_orderkey y from (select event_id, row_number() over (order by event_id) i from events) join (select o_orderkey, row_number() over (order by o_orderkey) i from orders) using (i)")
@@ -164,11 +194,13 @@ _A, _B = "(select o_custkey k, count(1) a from orders where o_orderstatus = 'F'
 _SA, _SB = "(select o_custkey k, count(1) a from orders where o_orderstatus = 'F' group by o_custkey)", "(select c_custkey k, c_acctbal b from customer where c_acctbal > 0)"
 for _mode, _how in (("full", "full"), ("inner", "inner"), ("left", "left"), ("right", "right")):
     add(f"merge_{_mode}", f"select k, a, b from merge_by_key('k', (select k, a from {_A}) x, (select k, b from {_B}) y, '{_mode}')", f"select k, a, b from {_SA} {_how} join {_SB} using (k)")
-add("merge_dup_zip", "select k, a, b from merge_by_key('k', (select n_regionkey k, n_nationkey a from nation) x, (select s_nationkey k, s_suppkey b from supplier) y, 'full', 'zip')",
+add("merge_order_desc", "select row.index i, k, a from merge_by_key('k', (select o_orderkey k, o_totalprice a from orders) x, (select l_orderkey k, count(1) n from lineitem group by l_orderkey) y, 'left', 'desc') m",
+    "select row_number() over (order by o_orderkey desc) i, o_orderkey k, o_totalprice a from orders")
+add("merge_dup_zip", "select k, a, b from merge_by_key('k', (select n_regionkey k, n_nationkey a from nation order by k, a) x, (select s_nationkey k, s_suppkey b from supplier order by k, b) y, 'full', 'zip')",
     "select k, a, b from (select n_regionkey k, n_nationkey a, row_number() over (partition by n_regionkey order by n_nationkey) r from nation) full join (select s_nationkey k, s_suppkey b, row_number() over (partition by s_nationkey order by s_suppkey) r from supplier) using (k, r)")
-add("merge_dup_cartesian", "select k, a, b from merge_by_key('k', (select n_regionkey k, n_nationkey a from nation) x, (select s_nationkey k, s_suppkey b from supplier) y, 'inner', 'cartesian')",
+add("merge_dup_cartesian", "select k, a, b from merge_by_key('k', (select n_regionkey k, n_nationkey a from nation order by k, a) x, (select s_nationkey k, s_suppkey b from supplier order by k, b) y, 'inner', 'cartesian')",
     "select n_regionkey k, n_nationkey a, s_suppkey b from nation join supplier on n_regionkey = s_nationkey")
-add("merge_dup_array", "select k, array_len(x) nx, array_len(y) ny from merge_by_key('k', (select n_regionkey k, n_nationkey a from nation) x, (select s_nationkey k, s_suppkey b from supplier) y, 'full', 'array')",
+add("merge_dup_array", "select k, array_len(x) nx, array_len(y) ny from merge_by_key('k', (select n_regionkey k, n_nationkey a from nation order by k, a) x, (select s_nationkey k, s_suppkey b from supplier order by k, b) y, 'full', 'array')",
     "select k, coalesce(nx, 0) nx, coalesce(ny, 0) ny from (select n_regionkey k, count(1) nx from nation group by 1) full join (select s_nationkey k, count(1) ny from supplier group by 1) using (k)")
 add("unnest_embedding", "select vec_id, unnest(embedding) x from embeddings")
 add("unnest_multi", "select u.c c, u.d d from unnest(array[1, 2, 3], array['x', 'y']) as u(c, d)", "select unnest([1, 2, 3])::bigint c, unnest(['x', 'y', null]) d")
@@ -211,6 +243,50 @@ add("json_merge_patch", "select event_id, json_merge_patch(props, '{\"k\": null,
 add("json_set_ops", "select event_id, json_intersect('[1,2,3]', '[3,1]') a, json_union('[1,2]', '[2,4]') b, json_diff('[1,2,2]', '[1]') c from events", "select event_id, '[1,3]' a, '[1,2,4]' b, '[2,2]' c from events")
 
 
+# --- functions over varied values --------------------------------------------------------------------
+add("trigonometry", "select event_id, round(math.sin(value), 6) a, round(math.cos(value), 6) b, round(math.tan(value / 200), 6) c, round(math.asin(value / 1000), 6) d, round(math.acos(value / 1000), 6) e, round(math.atan(value), 6) f, round(math.atan2(value, event_id), 6) g, round(math.degrees(value / 9), 4) h, round(math.radians(value), 6) i from events",
+    "select event_id, floor(sin(value) * 1e6 + 0.5) / 1e6 a, floor(cos(value) * 1e6 + 0.5) / 1e6 b, floor(tan(value / 200) * 1e6 + 0.5) / 1e6 c, floor(asin(value / 1000) * 1e6 + 0.5) / 1e6 d, floor(acos(value / 1000) * 1e6 + 0.5) / 1e6 e, floor(atan(value) * 1e6 + 0.5) / 1e6 f, floor(atan2(value, event_id) * 1e6 + 0.5) / 1e6 g, floor(degrees(value / 9) * 1e4 + 0.5) / 1e4 h, floor(radians(value) * 1e6 + 0.5) / 1e6 i from events")
+add("hyperbolic", "select event_id, round(math.sinh(value / 100), 6) a, round(math.cosh(value / 100), 6) b, round(math.tanh(value / 100), 6) c, round(math.exp(value / 100), 6) d, round(math.expm1(value / 100), 6) e, round(math.log1p(value), 6) f, round(math.log10(value + 1), 6) g, math.rint(value) h, math.sqrt(event_id) i, abs(50 - event_id) j, math.copy_sign(value, 50 - event_id) k, round(math.ieee_rem(value, 7), 6) l from events",
+    "select event_id, floor(sinh(value / 100) * 1e6 + 0.5) / 1e6 a, floor(cosh(value / 100) * 1e6 + 0.5) / 1e6 b, floor(tanh(value / 100) * 1e6 + 0.5) / 1e6 c, floor(exp(value / 100) * 1e6 + 0.5) / 1e6 d, floor((exp(value / 100) - 1) * 1e6 + 0.5) / 1e6 e, floor(ln(value + 1) * 1e6 + 0.5) / 1e6 f, floor(log10(value + 1) * 1e6 + 0.5) / 1e6 g, round_even(value, 0) h, sqrt(event_id) i, abs(50.0::double - event_id) j, case when event_id > 50 then -value else value end k, floor((value - 7 * round_even(value / 7, 0)) * 1e6 + 0.5) / 1e6 l from events")
+add("math_lists", "select event_id, math.min(value, 50, event_id) a, math.avg(value, event_id) b, math.count(value, null, event_id) c, least(event_id, 30) d, math.plus(event_id, 2) e, math.sub(event_id, 2) f, math.mul(event_id, 2) g, math.divi(event_id, 2) h, math.mod(event_id, 5) i from events",
+    "select event_id, least(value, 50.0, event_id)::double a, (value + event_id) / 2 b, 2::bigint c, least(event_id, 30) d, event_id + 2 e, event_id - 2 f, event_id * 2 g, event_id // 2 h, event_id % 5 i from events")
+add("shifts_and_words", "select event_id, (0 - event_id) >>> 60 a, bit_left_shift(event_id, 3) b, bit_right_shift(event_id, 1) c, bit_unsigned_shift(event_id, 2) d, bit_not(event_id) e, bit_and(event_id, 6) f, bit_or(event_id, 6) g, bit_mutex(event_id, 6) h from events",
+    "select event_id, case when event_id > 0 then 15 else 0 end::bigint a, event_id << 3 b, event_id >> 1 c, event_id >> 2 d, ~event_id e, event_id & 6 f, event_id | 6 g, xor(event_id, 6) h from events")
+add("compare_functions", "select event_id, eq(user_id, '7') a, neq(user_id, 7) b, gt(value, '100') c, gte(value, 100) d, lt(value, 100) e, lte(value, event_id) f, str_like(event_type, 'c%') g, str_nlike(event_type, 'c%') h from events",
+    "select event_id, user_id = 7 a, user_id <> 7 b, value > 100 c, value >= 100 d, value < 100 e, value <= event_id f, event_type like 'c%' g, event_type not like 'c%' h from events")
+add("range_functions", "select event_id from events where btw(value, 20, 40) or range(user_id, array[3, 5]) or nin(event_type, 'click', 'view') and nbtw(value, 10, 190)",
+    "select event_id from events where value between 20 and 40 or user_id between 3 and 5 or event_type not in ('click', 'view') and value not between 10 and 190")
+add("case_predicates", "select event_id from events where case when event_type = 'click' then value > 100 else value < 20 end",
+    "select event_id from events where case when event_type = 'click' then value > 100 else value < 20 end")
+add("case_times", "select o_orderkey, case when o_orderdate < {d '1995-01-01'} then 'old' when o_orderdate < {ts '1997-06-01 00:00:00'} then 'mid' else 'new' end age from orders",
+    "select o_orderkey, case when o_orderdate < date '1995-01-01' then 'old' when o_orderdate < timestamp '1997-06-01' then 'mid' else 'new' end age from orders")
+add("string_trims", "select c_custkey, trim(concat('  ', c_name, ' ')) a, ltrim(concat('  ', c_name)) b, rtrim(concat(c_name, '  ')) c, repeat(left(c_mktsegment, 2), 3) d, c_name || '/' || c_custkey e, rpad(c_mktsegment, 4, '-') f from customer",
+    "select c_custkey, c_name a, c_name b, c_name c, repeat(left(c_mktsegment, 2), 3) d, c_name || '/' || c_custkey e, rpad(c_mktsegment, 4, '-') f from customer")
+add("string_search", "select p_partkey, starts_with(p_name, 'a') a, ends_with(p_type, 'L') b, locate('a', p_name) c, locate('a', p_name, 4) d, position(p_name, 'e') e, lower(p_brand) f, char_length(p_type) g from part",
+    "select p_partkey, starts_with(p_name, 'a') a, ends_with(p_type, 'L') b, instr(p_name, 'a') c, case when instr(substr(p_name, 4), 'a') > 0 then instr(substr(p_name, 4), 'a') + 3 else 0 end d, instr(p_name, 'e') e, lower(p_brand) f, length(p_type) g from part")
+add("times_from_numbers", "select event_id, to_unixtime(ts) a, to_millis(from_unixtime(event_id * 1000)) b, from_unixtime(event_id, 'yyyy-MM-dd HH:mm:ss') c, unix_timestamp(ts) d, to_millis(cast(event_id * 1000 as timestamp)) e from events",
+    "select event_id, (epoch_us(ts) // 1000) / 1000.0::double a, event_id * 1000000 b, strftime(timestamp '1970-01-01' + to_seconds(event_id), '%Y-%m-%d %H:%M:%S') c, cast(floor(epoch(ts)) as bigint) d, event_id * 1000 e from events")
+add("date_units", "select event_id, hour(ts) h, minute(ts) mi, second(ts) s, day_of_month(ts) d, to_millis(date_trunc('month', ts)) m, to_millis(date_trunc('year', ts)) y, to_millis(date_trunc('minute', ts)) n, to_millis(date_trunc('day', ts)) t, to_millis(date_sub(ts, 3, 'week')) w, to_millis(date_add(ts, 90, 'second')) a from events",
+    "select event_id, hour(ts)::int h, minute(ts)::int mi, second(ts)::int s, day(ts)::int d, epoch_ms(date_trunc('month', ts)) m, epoch_ms(date_trunc('year', ts)) y, epoch_ms(date_trunc('minute', ts)) n, epoch_ms(date_trunc('day', ts)) t, epoch_us(ts - interval '3 weeks') // 1000 w, epoch_us(ts + interval '90 seconds') // 1000 a from events")
+add("date_parts", "select event_id, date_part('year', ts) y, date_part('month', ts) m, date_part('week', ts) w, date_part('day', ts) d, date_part('hour', ts) h, date_part('dow', ts) wd, date_part('doy', ts) dy, date_part('epoch', ts) e, date_part('millisecond', ts) ms from events",
+    "select event_id, year(ts) y, month(ts) m, week(ts) w, day(ts) d, hour(ts) h, isodow(ts) wd, dayofyear(ts) dy, cast(floor(epoch(ts)) as bigint) e, epoch_us(ts) // 1000 % 1000 ms from events")
+add("json_paths", "select event_id, json_extract(props, '$.k') a, json_value(props, '$.k') b, json_query(d, '$.l') c, json_extract_path(d, 'o', 'x') e, json_extract_path_text(d, 'o', 'x') f, json_get(d, p) g, d->'l'->>1 h, d#>'{o,x}' i from (select event_id, props, json_object('l', json_array(event_id, user_id), 'o', json_object('x', event_type)) d, '$.o.x' p from events) z",
+    "select event_id, json_extract_string(props, '$.k') a, json_extract_string(props, '$.k') b, '[' || event_id || ',' || user_id || ']' c, event_type e, event_type f, event_type g, cast(user_id as varchar) h, event_type i from events")
+add("json_build", "select c_custkey, json_object('name', c_name, 'n', c_nationkey, 'odd', t) a, json_array(c_custkey, t, null, true) b, json_quote(t) q, json_unquote(json_quote(t)) u, json_valid(json_array(t)) v from (select c_custkey, c_name, c_nationkey, concat(c_mktsegment, '\"\\', c_custkey) t from customer) x",
+    "select c_custkey, cast(json_object('name', c_name, 'n', c_nationkey, 'odd', t) as varchar) a, cast(json_array(c_custkey, t, null, true) as varchar) b, cast(to_json(t) as varchar) q, t u, true v from (select *, c_mktsegment || '\"\\' || c_custkey t from customer)")
+add("json_inspect", "select event_id, json_type(x) t, json_typeof(x) y, json_length(x) n, json_array_length(l) al, json_valid(x) v, json_depth(x) d, json_contains_path(o, 'one', '$.a', '$.b') c, json_contains_path(o, 'all', '$.a', '$.b') e, json_keys(o)[0] k from (select event_id, case event_id % 6 when 0 then '{\"a\": {\"b\": 1}}' when 1 then '[1, 2, [3]]' when 2 then '5' when 3 then '1.5' when 4 then 'true' else 'null' end x, json_array(event_id, 2) l, if(event_id % 2 = 0, '{\"a\": 1}', '{\"b\": 1, \"a\": 2}') o from events) z",
+    "select event_id, case event_id % 6 when 0 then 'OBJECT' when 1 then 'ARRAY' when 2 then 'INTEGER' when 3 then 'DOUBLE' when 4 then 'BOOLEAN' else 'NULL' end t, case event_id % 6 when 0 then 'object' when 1 then 'array' when 2 then 'number' when 3 then 'number' when 4 then 'boolean' else 'null' end y, case event_id % 6 when 1 then 3 when 5 then null else 1 end::bigint n, 2::bigint al, true v, case event_id % 6 when 0 then 3 when 1 then 3 else 1 end::bigint d, true c, event_id % 2 = 1 e, 'a' k from events")
+add("json_relations", "select event_id, json_contains(json_array(event_id, user_id, 7), '7') a, json_overlaps(json_array(user_id, 1), '[7, 9]') b, json_equal(json_object('k', user_id), '{\"k\": 7.0}') c, json_intersect(json_array(user_id, 2), '[2, 7]') d, json_diff(json_array(user_id, 500000), '[7]') e, json_union(json_array(500000), json_array(user_id, 500000)) f from events",
+    "select event_id, true a, user_id in (7, 9) b, user_id = 7 c, case when user_id = 7 then '[7,2]' else '[2]' end d, case when user_id = 7 then '[500000]' else '[' || user_id || ',500000]' end e, '[500000,' || user_id || ']' f from events")
+add("lists_of_rows", "select user_id, array_len(k) n, k[0] first_id, m.click c, array_len(m.keys) kinds from (select user_id, row_to_array(l) k, array_to_row(t, 'event_type', 'n') m from (select user_id, collect_list(event_id) l from events group by user_id) a join (select u, collect_list(event_type, n) t from (select user_id u, event_type, count(1) n from events group by user_id, event_type) q group by u) b on b.u = a.user_id) z",
+    "select user_id, count(1) n, arg_min(event_id, (ts, event_id)) first_id, nullif(count(1) filter (where event_type = 'click'), 0) c, count(distinct event_type) kinds from events group by user_id")
+add("map_properties", "select event_id, m.size n, m.empty e, array_len(m.keys) k, math.max(m.values) v, array_len(m.entries) x from (select event_id, new_map('a', value, 'b', event_id, 'c', 5) m from events) z",
+    "select event_id, 3::bigint n, false e, 3::bigint k, greatest(value, event_id, 5)::double v, 3::bigint x from events")
+add("loose_lists", "select event_id, contains_all(array[1, 7, 9], user_id) a, contains_all(array[user_id, event_id], cast(user_id as string), event_id) b, contains_any(array['7', '9'], user_id) c, not_contains(array[event_id, user_id], '7') d, array_len(array[event_id, 'x', null]) e from events",
+    "select event_id, user_id in (1, 7, 9) a, true b, user_id in (7, 9) c, 7 not in (event_id, user_id) d, 2::bigint e from events")
+add("double_precision", "select event_id, cast(event_id as double precision) d, '2.5'::double precision e from events", "select event_id, event_id::double d, 2.5::double e from events")
+
+
 # --- operators without a text ----------------------------------------------------------------------
 def tumbling_time_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet")

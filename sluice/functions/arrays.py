@@ -2,14 +2,35 @@
 
 from __future__ import annotations
 
-from .core import MANY, collection, flat, function
+from .core import MANY, alike, collection, flat, function, mixed
+
+function("new_array", "array", "array_value", "list_value", "list_pack", least=0, most=MANY)(lambda s, *a: f"array_compact(array({', '.join(mixed(s, a))}))")
+
+
+@function("new_map", least=0, most=MANY)
+def _new_map(scope, *args: str) -> str:
+    keys, values = mixed(scope, args[: len(args) // 2 * 2 : 2]), mixed(scope, args[1::2])
+    return f"map({', '.join(x for pair in zip(keys, values) for x in pair)})"
+
 
-function("new_array", "array", "array_value", "list_value", "list_pack", least=0, most=MANY)(lambda s, *a: f"array_compact(array({', '.join(a)}))")
-function("new_map", least=0, most=MANY)(lambda s, *a: f"map({', '.join(a[: len(a) // 2 * 2])})")
 function("array_len", most=MANY)(lambda s, *a: f"cast(size({flat(s, a)}) as bigint)")
-function("contains_all", least=2, most=MANY)(lambda s, a, *b: f"coalesce(size(array_except({flat(s, b)}, {a})) = 0, false)" if len(b) > 1 else f"coalesce(size(array_except({collection(s, b[0])}, {a})) = 0 and {b[0]} is not null, false)")
-function("contains_any", least=2, most=MANY)(lambda s, a, *b: f"coalesce(arrays_overlap({collection(s, a)}, {flat(s, b)}), false)")
-function("not_contains", least=2, most=MANY)(lambda s, a, *b: f"not coalesce(arrays_overlap({collection(s, a)}, {flat(s, b)}), false)")
+
+
+@function("contains_all", least=2, most=MANY)
+def _contains_all(scope, a: str, *b: str) -> str:
+    """Whether each of the values stands in the list; a number equals its text."""
+    have, want = alike(scope, flat(scope, (a,)), flat(scope, b))
+    given = f"{b[0]} is not null" if len(b) == 1 else "true"
+    return f"coalesce(forall({want}, w -> array_contains({have}, w)) and size({want}) = size({flat(scope, b)}) and {given}, false)"
+
+
+def _overlap(scope, a: str, b: tuple[str, ...]) -> str:
+    have, want = alike(scope, flat(scope, (a,)), flat(scope, b))
+    return f"coalesce(arrays_overlap({have}, {want}), false)"
+
+
+function("contains_any", least=2, most=MANY)(lambda s, a, *b: _overlap(s, a, b))
+function("not_contains", least=2, most=MANY)(lambda s, a, *b: f"not {_overlap(s, a, b)}")
 
 
 @function("row_to_array", "rows_to_array", most=MANY)

@@ -135,7 +135,33 @@ def collection(scope, x: str) -> str:
     return f"array_compact(array({x}))"
 
 
+def mixed(scope, args: tuple[str, ...] | list[str]) -> list[str]:
+    """Values for one list or map: as they are if their types agree, else as texts."""
+    kinds = [scope.type(a) for a in args]
+    known = [k for k in kinds if not isinstance(k, T.NullType)]
+    same = len({type(k) for k in known}) <= 1 or all(map(numeric, known))
+    return list(args) if same else [a if isinstance(k, T.NullType) else text(scope, a) for a, k in zip(args, kinds)]
+
+
 def flat(scope, args: tuple[str, ...]) -> str:
-    """All arguments as one array without nulls."""
+    """All arguments as one array without nulls; elements of different types become texts."""
     parts = [collection(scope, a) for a in args]
+    kinds = [scope.type(p).elementType for p in parts]
+    known = [k for k in kinds if not isinstance(k, T.NullType)]
+    if len({type(k) for k in known}) > 1 and not all(map(numeric, known)):
+        parts = [f"transform({p}, x -> cast(x as string))" for p in parts]
     return f"array_compact({parts[0] if len(parts) == 1 else f'concat({", ".join(parts)})'})"
+
+
+def alike(scope, a: str, b: str) -> tuple[str, str]:
+    """Two arrays whose elements compare as ``compare`` does: numbers with texts as numbers, times with others as times."""
+    x, y = scope.type(a).elementType, scope.type(b).elementType
+    if type(x) is type(y) or numeric(x) and numeric(y) or isinstance(x, T.NullType) or isinstance(y, T.NullType):
+        return a, b
+    if temporal(x) or temporal(y):
+        to = lambda t: "cast(v as timestamp)" if temporal(t) else "timestamp_millis(cast(v as bigint))" if numeric(t) else "coalesce(timestamp_millis(try_cast(v as bigint)), try_cast(v as timestamp))"
+    elif numeric(x) or numeric(y):
+        to = lambda t: "cast(cast(v as int) as double)" if isinstance(t, T.BooleanType) else "try_cast(v as double)"
+    else:
+        to = lambda t: "cast(v as string)"
+    return tuple(f"array_compact(transform({e}, v -> {to(t)}))" for e, t in ((a, x), (b, y)))

@@ -12,29 +12,41 @@ from ..errors import QueryError
 from .core import MANY, UDFS, function, literal, quote, text
 
 MAX_PATH = 1024
+#: Limits of a document and of what is made of it; hints of these names replace them.
+MAX_TEXT, MAX_DEPTH, MAX_ITEMS = 2 * 1024 * 1024, 128, 100_000
+
+
+def quoted(x: str) -> str:
+    """A text as a JSON string: every character that JSON escapes is escaped."""
+    return f"if({x} is null, null, substring(to_json(array({x})), 2, length(to_json(array({x}))) - 2))"
 
 
 def document(scope, x: str) -> str:
     """JSON text of a value; a string that isn't JSON is a JSON string."""
     t = scope.type(x)
     if isinstance(t, T.StringType):
-        return f"coalesce(if(try_parse_json({x}) is null, null, {x}), concat('\"', replace({x}, '\"', '\\\\\"'), '\"'))"
+        most = int(scope.setting("json.maxLength", MAX_TEXT))
+        small = x if literal(x) is not None else f"if(octet_length({x}) > {most}, raise_error('resource_limit: a JSON text of over {most} bytes'), {x})"
+        return f"coalesce(if(try_parse_json({small}) is null, null, {x}), {quoted(x)})"
     if isinstance(t, T.MapType | T.StructType | T.ArrayType):
         return f"to_json({x})"
     return f"cast({x} as string)"
 
 
 def path(p: str) -> str:
-    """A checked path; only literal, simple ones are taken."""
+    """A checked, literal path; only simple ones are taken."""
     v = literal(p)
     if v is None:
-        raise QueryError("unsupported", "a JSON path must be a literal", expression=p)
+        raise QueryError("unsupported", "this JSON path must be a literal", expression=p)
     if len(v) > MAX_PATH or ".." in v or any(c in v for c in "?(*"):
-        raise QueryError("unsupported", "this JSON path isn't safe", expression=p)
+        raise QueryError("unsupported", "this JSON path isn't safe", expression=p, suggestion="name properties and positions, as in $.a.b[0]")
     return quote(v if v.startswith("$") else f"$.{v}")
 
 
 def _get(scope, j: str, p: str, kind: str = "string") -> str:
+    if literal(p) is None:  # a path that each row brings along is checked when it is read
+        checked = f"if(length({p}) > {MAX_PATH} or rlike({p}, '[?(*]|[.][.]'), raise_error('unsupported: this JSON path is not safe'), if(startswith({p}, '$'), {p}, concat('$.', {p})))"
+        return f"get_json_object({document(scope, j)}, {checked})"
     return f"try_variant_get(try_parse_json({document(scope, j)}), {path(p)}, '{kind}')"
 
 
@@ -70,7 +82,7 @@ def _contains_path(scope, j: str, mode: str, *paths: str) -> str:
 
 function("json_valid")(lambda s, x: f"(try_parse_json({text(s, x)}) is not null)")
 function("json_unquote")(lambda s, x: f"try_variant_get(try_parse_json({document(s, x)}), '$', 'string')")
-function("json_quote")(lambda s, x: f"concat('\"', replace(replace({text(s, x)}, '\\\\', '\\\\\\\\'), '\"', '\\\\\"'), '\"')")
+function("json_quote")(lambda s, x: quoted(text(s, x)))
 function("json_array_length", "jsonb_array_length")(lambda s, x: f"cast(json_array_length({document(s, x)}) as bigint)")
 function("json_keys", "json_object_keys", "jsonb_object_keys", least=1, most=2)(lambda s, x, p="'$'": f"json_object_keys({_get(s, x, p)})")
 
@@ -100,13 +112,13 @@ def _typeof(scope, x: str) -> str:
 function("to_json")(lambda s, x: document(s, x))
 function("json_array", "json_build_array", "jsonb_build_array", least=0, most=MANY)(lambda s, *a: f"concat('[', array_join(array({', '.join(_value(s, x) for x in a)}), ','), ']')" if a else "'[]'")
 function("json_object", "json_build_object", "jsonb_build_object", least=0, most=MANY)(
-    lambda s, *a: "concat('{', array_join(array(" + ", ".join(f"concat('\"', {text(s, k)}, '\":', {_value(s, v)})" for k, v in zip(a[::2], a[1::2])) + "), ','), '}')" if len(a) > 1 else "'{}'"
+    lambda s, *a: "concat('{', array_join(array(" + ", ".join(f"concat({quoted(text(s, k))}, ':', {_value(s, v)})" for k, v in zip(a[::2], a[1::2])) + "), ','), '}')" if len(a) > 1 else "'{}'"
 )
 
 
 def _value(scope, x: str) -> str:
     t = scope.type(x)
-    return f"coalesce({document(scope, x)}, 'null')" if not isinstance(t, T.StringType) else f"coalesce(concat('\"', replace({x}, '\"', '\\\\\"'), '\"'), 'null')"
+    return f"coalesce({quoted(x) if isinstance(t, T.StringType) else document(scope, x)}, 'null')"
 
 
 # --- what no built-in does: values are compared deeply, numbers by value ---------------------------
@@ -188,8 +200,15 @@ def _binary(name: str, kind: str, f) -> None:
             if x is None or y is None:
                 return None
             try:
-                out = f(js.loads(x), js.loads(y))
-            except (ValueError, TypeError, AttributeError):
+                left, right = js.loads(x), js.loads(y)
+            except ValueError:
+                return None
+            for value in (left, right):
+                if _depth(value) > MAX_DEPTH or isinstance(value, dict | list) and len(value) > MAX_ITEMS:
+                    raise ValueError(f"resource_limit: JSON deeper than {MAX_DEPTH} or longer than {MAX_ITEMS}")
+            try:
+                out = f(left, right)
+            except (TypeError, AttributeError):
                 return None
             return js.dumps(out, separators=(",", ":"), ensure_ascii=False) if kind == "string" else out
 

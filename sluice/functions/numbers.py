@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .core import MANY, compare, double, flat, function, integral, long, number, numeric, truth
+from .core import MANY, alike, compare, double, flat, function, integral, long, mixed, number, numeric, truth
 
 
 def arithmetic(scope, op: str, a: str, b: str) -> str:
@@ -36,7 +36,7 @@ for _name in ("floor", "ceil", "abs"):
 function("pow", "power", least=2)(lambda s, x, y: f"pow({double(s, x)}, {double(s, y)})")
 function("math.atan2", least=2)(lambda s, y, x: f"atan2({double(s, y)}, {double(s, x)})")
 function("math.ieee_rem", least=2)(lambda s, x, y: f"({double(s, x)} - {double(s, y)} * rint({double(s, x)} / {double(s, y)}))")
-function("math.copy_sign", least=2)(lambda s, x, y: f"if({double(s, y)} < 0, -abs({double(s, x)}), abs({double(s, x)}))")
+function("math.copy_sign", least=2)(lambda s, x, y: f"if({double(s, y)} < 0 or cast({double(s, y)} as string) = '-0.0', -abs({double(s, x)}), abs({double(s, x)}))")
 function("math.round")(lambda s, x: f"cast(floor({double(s, x)} + 0.5D) as bigint)")
 
 
@@ -63,11 +63,18 @@ function("all_match", most=MANY)(lambda s, *a: "(" + " and ".join(f"coalesce({tr
 function("any_match", most=MANY)(lambda s, *a: "(" + " or ".join(f"coalesce({truth(s, x)}, false)" for x in a) + ")")
 function("coalesce", most=MANY)(lambda s, *a: f"coalesce({', '.join(a)})")
 function("if", least=2, most=3)(lambda s, c, a, b="null": f"if(coalesce({truth(s, c)}, false), {a}, {b})")
-function("choose", least=2, most=MANY)(lambda s, i, *v: f"get(array({', '.join(v)}), cast({number(s, i)} as int) - 1)")
+function("choose", least=2, most=MANY)(lambda s, i, *v: f"get(array({', '.join(mixed(s, v))}), cast({number(s, i)} as int) - 1)")
 function("isnull", most=MANY)(lambda s, *a: "(" + " and ".join(f"{x} is null" for x in a) + ")")
 function("notnull", most=MANY)(lambda s, *a: "(" + " or ".join(f"{x} is not null" for x in a) + ")")
-function("in", least=2, most=MANY)(lambda s, x, *a: f"coalesce(array_contains({flat(s, a)}, {x}), false)")
-function("nin", least=2, most=MANY)(lambda s, x, *a: f"not coalesce(array_contains({flat(s, a)}, {x}), false)")
+
+
+def _among(scope, x: str, items: tuple[str, ...]) -> str:
+    have, want = alike(scope, flat(scope, items), f"array({x})")
+    return f"coalesce(array_contains({have}, get({want}, 0)), false)"
+
+
+function("in", least=2, most=MANY)(lambda s, x, *a: _among(s, x, a))
+function("nin", least=2, most=MANY)(lambda s, x, *a: f"not {_among(s, x, a)}")
 
 
 def between(scope, x: str, lo: str, hi: str) -> str:
@@ -92,7 +99,7 @@ CASTS = {
     "string": "string", "varchar": "string", "char": "string", "text": "string", "number": "double", "decimal": "decimal(38,10)", "numeric": "decimal(38,10)",
     "bigdecimal": "decimal(38,10)", "int": "int", "integer": "int", "signed": "int", "long": "bigint", "bigint": "bigint", "double": "double", "float8": "double",
     "bool": "boolean", "boolean": "boolean", "byte": "tinyint", "tinyint": "tinyint", "short": "smallint", "smallint": "smallint", "float": "float", "real": "float",
-    "float4": "float", "date": "timestamp", "datetime": "timestamp", "timestamp": "timestamp",
+    "float4": "float", "double precision": "double", "character varying": "string", "date": "timestamp", "datetime": "timestamp", "timestamp": "timestamp",
 }
 
 

@@ -7,7 +7,8 @@ import re
 from ..errors import QueryError
 from .core import MANY, flat, function, literal, number, quote, text
 
-MAX_PATTERN = 1024
+#: Limits of lengths in characters; settings of the same meaning replace them.
+MAX_PATTERN, MAX_INPUT, MAX_REPLACEMENT, MAX_OUTPUT = 1024, 256 * 1024, 64 * 1024, 1_000_000
 _NESTED = re.compile(r"\([^()]*[+*][^()]*\)[+*{]")
 
 
@@ -15,12 +16,25 @@ def _n(scope, x: str) -> str:
     return f"cast({number(scope, x)} as int)"
 
 
+def made(scope, size: str, x: str, what: str) -> str:
+    """x, unless it would be longer than the limit of generated texts."""
+    most = int(scope.setting("function.maxGeneratedStringLength", MAX_OUTPUT))
+    return f"if({size} > {most}, raise_error('resource_limit: {what} makes over {most} characters'), {x})"
+
+
 for _name in ("lower", "upper", "reverse", "trim"):
     function(_name)(lambda s, x, f=_name: f"{f}({text(s, x)})")
 function("length", "char_length")(lambda s, x: f"cast(length({text(s, x)}) as bigint)")
 function("ltrim")(lambda s, x: f"regexp_replace({text(s, x)}, '^\\\\s+', '')")
 function("rtrim")(lambda s, x: f"regexp_replace({text(s, x)}, '\\\\s+$', '')")
-function("replace", least=3)(lambda s, x, a, b: f"replace({text(s, x)}, {a}, {b})")
+
+
+@function("replace", least=3)
+def _replace(scope, x: str, a: str, b: str) -> str:
+    x, a, b = text(scope, x), text(scope, a), text(scope, b)
+    return made(scope, f"(if({a} = '', 0L, cast(length({x}) as bigint) div greatest(length({a}), 1) * greatest(length({b}) - length({a}), 0)) + length({x}))", f"replace({x}, {a}, {b})", "replace")
+
+
 
 
 def _cut(scope, x: str, start: str, size: str | None, base: int) -> str:
@@ -49,7 +63,15 @@ function("str_contains", "contains", least=2)(lambda s, x, y: f"contains({text(s
 function("strpos", "position", "instr", least=2)(lambda s, x, y: f"cast(instr({text(s, x)}, {text(s, y)}) as bigint)")
 function("locate", least=2, most=3)(lambda s, y, x, k="1": f"cast(locate({text(s, y)}, {text(s, x)}, {_n(s, k)}) as bigint)")
 function("concat", most=MANY)(lambda s, *a: f"array_join(transform({flat(s, tuple(_texts(s, a)))}, x -> cast(x as string)), '')")
-function("concat_ws", least=2, most=MANY)(lambda s, sep, *a: f"array_join(transform({flat(s, tuple(_texts(s, a)))}, x -> cast(x as string)), {text(s, sep)})")
+
+
+@function("concat_ws", least=2, most=MANY)
+def _concat_ws(scope, sep: str, *args: str) -> str:
+    parts, sep = flat(scope, tuple(_texts(scope, args))), text(scope, sep)
+    size = f"aggregate({parts}, 0L, (n, x) -> n + length(x) + length({sep}))"
+    return made(scope, size, f"array_join({parts}, {sep})", "concat_ws")
+
+
 
 
 def _texts(scope, args: tuple[str, ...]):
@@ -61,7 +83,7 @@ def _texts(scope, args: tuple[str, ...]):
 def _pad(f: str):
     def build(scope, x: str, n: str, pad: str = "' '") -> str:
         x, n = text(scope, x), _n(scope, n)
-        return f"case when {n} <= 0 then '' when {pad} = '' and length({x}) < {n} then null else {f}({x}, {n}, {pad}) end"
+        return made(scope, n, f"case when {n} <= 0 then '' when {pad} = '' and length({x}) < {n} then null else {f}({x}, {n}, {pad}) end", f)
 
     return build
 
@@ -72,8 +94,14 @@ function("rpad", least=2, most=3)(_pad("rpad"))
 
 @function("repeat", least=2)
 def _repeat(scope, x: str, n: str) -> str:
-    x, n, limit = text(scope, x), _n(scope, n), scope.setting("function.maxGeneratedStringLength", 1_000_000)
-    return f"if(length({x}) * greatest({n}, 0) > {limit}, raise_error('resource_limit: repeat'), repeat({x}, {n}))"
+    x, n = text(scope, x), _n(scope, n)
+    return made(scope, f"cast(length({x}) as bigint) * greatest({n}, 0)", f"repeat({x}, {n})", "repeat")
+
+
+def subject(scope, x: str) -> str:
+    """A text that a pattern is matched against, of bounded length."""
+    most, x = int(scope.setting("function.regex.maxInputLength", MAX_INPUT)), text(scope, x)
+    return f"if(length({x}) > {most}, raise_error('resource_limit: over {most} characters for a pattern'), {x})"
 
 
 def pattern(scope, p: str, flags: str | None = None) -> str:
@@ -90,14 +118,24 @@ def pattern(scope, p: str, flags: str | None = None) -> str:
     return f"concat('(?i)', {p})" if flags and "i" in (literal(flags) or "") else p
 
 
-function("regexp_replace", least=3, most=4)(lambda s, x, p, r, f=None: f"regexp_replace({text(s, x)}, {pattern(s, p, f)}, {r})")
-function("regexp_like", least=2, most=3)(lambda s, x, p, f=None: f"rlike({text(s, x)}, {pattern(s, p, f)})")
+
+
+@function("regexp_replace", least=3, most=4)
+def _regexp_replace(scope, x: str, p: str, r: str, flags: str | None = None) -> str:
+    most = int(scope.setting("function.regex.maxReplacementLength", MAX_REPLACEMENT))
+    if literal(r) is not None and len(literal(r)) > most:
+        raise QueryError("resource_limit", "the replacement is too long", expression=r)
+    out = f"regexp_replace({subject(scope, x)}, {pattern(scope, p, flags)}, {r})"
+    return made(scope, f"length({out})", out, "regexp_replace")
+
+
+function("regexp_like", least=2, most=3)(lambda s, x, p, f=None: f"rlike({subject(s, x)}, {pattern(s, p, f)})")
 
 
 @function("regexp_extract", "regexp_substr", least=2, most=3)
 def _extract(scope, x: str, p: str, group: str | None = None) -> str:
     """By default group 1 if the pattern has one, else all; no match, or no such group, is null."""
-    x, value = text(scope, x), literal(p)
+    x, value = subject(scope, x), literal(p)
     pattern(scope, p)
     groups = re.compile(re.sub(r"\(\?<(?![=!])", "(?P<", value)).groups if value is not None else 0
     k = int(number(scope, group)) if group is not None else min(groups, 1)

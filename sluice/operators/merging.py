@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..errors import QueryError
-from .rows import global_index
+from .rows import before, carried, global_index, in_ranges, previous
 
 
 def row_of(df: DataFrame, hidden: list[str] = ()) -> F.Column:
@@ -25,7 +25,8 @@ def zip_sources(sources: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
 def combine_latest(sources: dict[str, tuple[DataFrame, str]], partition: list[str] | None = None) -> DataFrame:
     """A row on each arrival once all sources have one: the latest row of each. sources: name -> (rows, time column).
 
-    Without a partition column the latest values run over one ordered sequence; with one, over each key's.
+    Without a partition column the latest values run over one ordered sequence, in ranges that hand over the latest row
+    of each source; with one, over each key's.
     """
     names, keys = list(sources), partition or []
     parts = []
@@ -33,14 +34,25 @@ def combine_latest(sources: dict[str, tuple[DataFrame, str]], partition: list[st
         row = row_of(df)
         parts.append(df.select(*keys, F.col(at).alias("__at"), F.lit(k).alias("__source"), row.alias(name)))
     both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    w = W.partitionBy(*keys).orderBy("__at", "__source").rowsBetween(W.unboundedPreceding, W.currentRow)
-    out = both.select(*keys, "__at", "__source", *[F.last(n, ignorenulls=True).over(w).alias(n) for n in names])
+    if not keys:
+        both = in_ranges(both, ["__at", "__source"])
+    w = W.partitionBy(*(keys or ["__p"])).orderBy("__at", "__source").rowsBetween(W.unboundedPreceding, W.currentRow)
+    latest = [F.last(n, ignorenulls=True).over(w).alias(n) for n in names]
+    if keys:
+        out = both.select(*keys, "__at", "__source", *latest)
+    else:
+        at = F.struct("__at", "__source")
+        ends = carried(both, [F.max_by(n, F.when(F.col(n).isNotNull(), at)).alias(n) for n in names], [F.last(n, ignorenulls=True).over(before()).alias(f"__b{k}") for k, n in enumerate(names)])
+        inside = both.select("__p", "__at", "__source", *latest).join(F.broadcast(ends), F.col("__p") == F.col("__q"))  # a row per range
+        out = inside.select("__at", "__source", *[F.coalesce(n, f"__b{k}").alias(n) for k, n in enumerate(names)])
     return out.where(reduce(lambda a, b: a & b, [F.col(n).isNotNull() for n in names]))
 
 
 #: Names of modes; fixed values of the dialect.
 MODES = {m: m for m in ("inner", "left", "right", "full")} | {"left_outer": "left", "right_outer": "right", "outer": "full", "full_outer": "full"}
 DUPLICATES = {"error", "zip", "cartesian", "array", "list"}
+#: Rows of a key that a source may have, unless the query says otherwise.
+MAX_ROWS = 1024
 
 
 def merge_by_key(
@@ -61,10 +73,14 @@ def merge_by_key(
         columns[name] = [c for c in df.columns if c != key]
         checked = F.when(F.col(key).isNull(), F.raise_error(F.lit(f"merge_by_key: null key in {name}"))).otherwise(F.col(key))
         df = df.withColumn(key, checked)
-        if max_rows is not None or duplicates == "error":
-            most, why = (1, "duplicate key") if duplicates == "error" else (max_rows, "too many rows of a key")
+        if duplicates == "error":  # one aggregate by the key finds the duplicates, and the join needs no other shuffle
+            rest = row_of(df, [key]) if columns[name] else F.struct(F.lit(1).alias("one"))
+            one = df.groupBy(key).agg(F.count("*").alias("__n"), F.first(rest).alias("__r"))
+            unique = F.when(F.col("__n") > 1, F.raise_error(F.lit(f"merge_by_key: duplicate key in {name}"))).otherwise(F.col(key))
+            df = one.select(unique.alias(key), *[F.col("__r").getField(c).alias(c) for c in columns[name]])
+        elif max_rows is not None:
             n = F.count("*").over(W.partitionBy(key))
-            df = df.withColumn(key, F.when(n > most, F.raise_error(F.lit(f"merge_by_key: {why} in {name}"))).otherwise(F.col(key)))
+            df = df.withColumn(key, F.when(n > max_rows, F.raise_error(F.lit(f"merge_by_key: over {max_rows} rows of a key in {name}"))).otherwise(F.col(key)))
         if lists:
             sort = [f"`{c}`" for c in (order or {}).get(name, columns[name])]
             rows = F.array_sort(F.collect_list(F.struct(F.struct(*sort).alias("o"), row_of(df).alias("r"))))
@@ -103,11 +119,12 @@ def merge_by_key(
     return (out.orderBy(by, *(["__rn"] if duplicates == "zip" else [])) if ordered else out).select(*shown)
 
 
-def check_sorted(df: DataFrame, key: str, order: list[str], descending: bool = False) -> DataFrame:
+def check_sorted(df: DataFrame, key: str, order: list[str], descending: bool = False, name: str = "a source") -> DataFrame:
     """Raise at the first row whose key stands before that of the row that arrived earlier."""
-    before = F.lag(key).over(W.orderBy(*order))
+    before = F.col("__before")
     wrong = (before < F.col(key)) if descending else (before > F.col(key))
-    return df.withColumn(key, F.when(wrong, F.raise_error(F.lit("merge_by_key: the source isn't sorted"))).otherwise(F.col(key)))
+    why = F.raise_error(F.concat(F.lit(f"merge_by_key: {name} isn't sorted {'descending' if descending else 'ascending'}: "), F.col(key).cast("string"), F.lit(" after "), before.cast("string")))
+    return previous(df, order, F.col(key), "__before").withColumn(key, F.when(wrong, why).otherwise(F.col(key))).drop("__before")
 
 
 def set_operation(kind: str, left: DataFrame, right: DataFrame, compat: bool = True) -> DataFrame:

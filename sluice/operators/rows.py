@@ -1,50 +1,64 @@
-"""Row numbers, sorting, distinct rows and limits. ``order`` is the list of columns of arrival."""
+"""Row numbers, sorting, distinct rows and limits. ``order`` is the list of columns of arrival.
 
-from __future__ import annotations
+Whatever follows the order of all rows works in ranges: rows are dealt by splitters over all order columns, so that a
+range is a task's share whatever the first column looks like, and what passes from one range to the next is a row
+per range.
+"""
 
-import tempfile
+from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
+from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..errors import QueryError
 
+#: Rows of the sample from which splitters are taken, per range.
+SAMPLE = 32
 
-def settled(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder, so that reading it twice gives the same partitions."""
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        root = spark.conf.get("spark.checkpoint.dir", None)
-        if root is None and not spark.sparkContext.master.startswith("local"):
-            raise QueryError("invalid_option", "set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(root or tempfile.mkdtemp(prefix="sluice-"))
-    return df.checkpoint()
 
+def columns(order: list) -> list[Column]:
+    return [F.col(c) if isinstance(c, str) else c for c in order]
 
-def global_index(df: DataFrame, order: list, name: str = "__index") -> DataFrame:
-    """1-based number of each row in ``order`` over all rows.
 
-    Rows are dealt into ranges of the first column and numbered inside them; the ranges' sizes give the offsets. So no
-    task holds more than one range. Numbers and times are cut into ranges of equal width by arithmetic, which keeps
-    the plan lazy; other types by sampled splitters, once, in the checkpoint folder.
+def in_ranges(df: DataFrame, order: list, name: str = "__p") -> DataFrame:
+    """Add the number of each row's range; ranges follow each other in ``order``, and rows of equal order share one.
+
+    Splitters come from the rows with the smallest hashes of their order columns: a sample that every run repeats, of a
+    bounded number of rows, and lazy as the rest of the plan. A row finds its range by bisection.
     """
-    order = [F.col(c) if isinstance(c, str) else c for c in order]
-    kind = df.select(order[0].alias("o")).schema[0].dataType
-    parts = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if isinstance(kind, T.NumericType | T.TimestampType | T.TimestampNTZType | T.DateType):
-        x = (order[0] if isinstance(kind, T.NumericType) else F.unix_micros(order[0].cast("timestamp"))).cast("double")
-        ends = df.agg(F.min(x).alias("__lo"), F.max(x).alias("__hi"))
-        share = (x - F.col("__lo")) / F.greatest(F.col("__hi") - F.col("__lo"), F.lit(1e-9))
-        bucket = F.coalesce(F.least(F.floor(share * parts), F.lit(parts - 1)), F.lit(-1))  # null sorts first
-        placed = df.crossJoin(F.broadcast(ends)).withColumn("__p", bucket).drop("__lo", "__hi")  # one row
-    else:
-        placed = settled(df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()))
-    sizes = placed.groupBy("__p").count()
-    before = W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)
-    starts = sizes.select(F.col("__p").alias("__q"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__start"))
-    numbered = placed.withColumn("__n", F.row_number().over(W.partitionBy("__p").orderBy(*order)))
+    parts = 1
+    while parts < 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        parts *= 2
+    key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(columns(order))])
+    sample = df.select(key.alias("k")).withColumn("h", F.xxhash64("k")).orderBy("h", "k").limit(parts * SAMPLE)
+    held = sample.agg(F.sort_array(F.collect_list("k")).alias("__s"))  # one row of parts * SAMPLE order keys
+    place = lambda i: F.greatest(F.floor(F.size("__s") * F.lit(i / parts)), F.lit(1)).cast("int") - 1
+    cuts = held.select(F.array(*[F.get("__s", place(i)) for i in range(1, parts)]).alias("__cuts"))
+    out = df.withColumn("__key", key).crossJoin(F.broadcast(cuts)).withColumn(name, F.lit(0))
+    step = parts // 2
+    while step:
+        out = out.withColumn(name, F.when(F.get("__cuts", F.col(name) + (step - 1)) < F.col("__key"), F.col(name) + step).otherwise(F.col(name)))
+        step //= 2
+    return out.drop("__key", "__cuts")
+
+
+def carried(ranged: DataFrame, last: list[Column], make: list[Column]) -> DataFrame:
+    """Per range ``__q`` what the ranges before it hand over. last: aggregates of a range; make: columns over all before."""
+    return ranged.groupBy(F.col("__p").alias("__q")).agg(*last).select("__q", *make)
+
+
+def before() -> WindowSpec:
+    """Over all earlier ranges, a row each."""
+    return W.orderBy("__q").rowsBetween(W.unboundedPreceding, -1)
+
+
+def global_index(df: DataFrame, order: list, name: str = "__index") -> DataFrame:
+    """1-based number of each row in ``order`` over all rows: numbers inside ranges, plus the sizes of the ranges before."""
+    placed = in_ranges(df, order)
+    starts = carried(placed, [F.count("*").alias("n")], [F.coalesce(F.sum("n").over(before()), F.lit(0)).alias("__start")])
+    numbered = placed.withColumn("__n", F.row_number().over(W.partitionBy("__p").orderBy(*columns(order))))
     joined = numbered.join(F.broadcast(starts), F.col("__p") == F.col("__q"))  # a row per range
     return joined.withColumn(name, (F.col("__start") + F.col("__n")).cast("bigint")).drop("__p", "__q", "__n", "__start")
 
@@ -56,10 +70,23 @@ def index_in(df: DataFrame, keys: list, order: list, name: str = "__index") -> D
     return df.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order)).cast("bigint"))
 
 
-def elapsed(keys: list, order: list, at: Column) -> Column:
-    """Milliseconds since the row before."""
+def previous(df: DataFrame, order: list, value: Column, name: str) -> DataFrame:
+    """Add the value of the row before in ``order``, null for the first: by lag in ranges, the first of a range from the last
+    of the ranges before."""
+    by = columns(order)
+    placed = in_ranges(df.withColumn("__v", value), order)
+    held = F.max_by(F.struct("__v"), F.struct(*[c.alias(f"k{i}") for i, c in enumerate(by)])).alias("v")
+    ends = carried(placed, [held], [F.last("v", ignorenulls=True).over(before()).alias("__carry")])
+    inside = W.partitionBy("__p").orderBy(*by)
+    joined = placed.join(F.broadcast(ends), F.col("__p") == F.col("__q"))  # a row per range
+    first = F.row_number().over(inside) == 1
+    return joined.withColumn(name, F.when(first, F.col("__carry.__v")).otherwise(F.lag("__v").over(inside))).drop("__v", "__p", "__q", "__carry")
+
+
+def elapsed(df: DataFrame, order: list, at: Column, name: str) -> DataFrame:
+    """Add the milliseconds since the row before in ``order``."""
     ms = F.unix_millis(at.cast("timestamp"))
-    return ms - F.lag(ms).over(W.partitionBy(*keys).orderBy(*order) if keys else W.orderBy(*order))
+    return previous(df, order, ms, "__ms").withColumn(name, ms - F.col("__ms")).drop("__ms")
 
 
 def take(df: DataFrame, keys: list, order: list, n: int, m: int | None = None) -> DataFrame:
@@ -98,7 +125,7 @@ def window_sort(df: DataFrame, arrival: list, order: list, size: int, name: str
 
 
 def guard(df: DataFrame, most: int, what: str) -> DataFrame:
-    """Raise if df has more than ``most`` rows; counts most + 1 rows at the furthest."""
-    if df.limit(most + 1).count() > most:
-        raise QueryError("resource_limit", f"{what} has more than {most} rows")
-    return df
+    """Raise, when the rows are read, if df has more than ``most``."""
+    n = df.limit(most + 1).agg(F.count("*").alias("__n"))
+    why = F.raise_error(F.lit(f"resource_limit: {what} has more than {most} rows"))
+    return df.crossJoin(F.broadcast(n)).where(F.when(F.col("__n") > most, why.cast("boolean")).otherwise(True)).drop("__n")  # one row

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import datetime
+import decimal
+import math
 import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import QueryError
-from ..functions.core import FUNCTIONS, call, compare, integral, literal, long, numeric, quote, temporal, text, truth
+from ..functions.core import FUNCTIONS, alike, call, compare, long, mixed, numeric, quote, temporal, text, truth
 from ..functions.dates import millis
 from ..functions.json import document, path, steps
 from ..functions.numbers import arithmetic, between, cast
@@ -19,7 +22,7 @@ from ..operators import aggregates as A
 from ..operators import grouping as G
 from ..operators import merging as M
 from ..operators import rows as R
-from .parser import Query, SetQuery, Source
+from .parser import Query, SetQuery, Source, With
 
 AGGREGATES = {"count", "distinct_count", "sum", "avg", "max", "min", "take", "collect_list", "collect_row"}
 EXPANSIONS = {"flat_array", "unnest", "explode", "each"}
@@ -54,6 +57,7 @@ class Scope:
         self.used_outer = False
         self.extra: list[T.StructField] = []
         self.types: dict[str, T.DataType] = {}
+        self.counts: set[str] = set()
 
     def setting(self, name: str, default):
         return self.low.settings.get(name, default)
@@ -106,6 +110,10 @@ class Scope:
         for seg in rest:
             t, word = self.type(sql), seg.lstrip("$").lower()
             index = seg.strip("[]")
+            own = next((x for p in self.low.engine.properties if (x := p(sql, t, seg)) is not None), None)
+            if own is not None:
+                sql = own
+                continue
             if isinstance(t, T.ArrayType):
                 if index.lstrip("-").isdecimal():
                     sql = f"get({sql}, {index})" if int(index) >= 0 else f"try_element_at({sql}, {index})"
@@ -147,12 +155,40 @@ class Scope:
     def _typed(self, kind: str, x: str) -> str:
         return quote(x) if kind == "time" else f"{kind} {quote(x)}"
 
-    def _param(self, name: str) -> str:
+    def bound_value(self, name: str):
         params = self.low.params
-        value = params[int(name)] if isinstance(params, list | tuple) else params[int(name) if name.isdecimal() and int(name) in params else name]
-        if isinstance(value, bool):
-            return str(value).lower()
-        return quote(value) if isinstance(value, str) else "null" if value is None else f"{value}D" if isinstance(value, float) else f"{value}L"
+        try:
+            return params[int(name)] if isinstance(params, list | tuple) else params[int(name) if name.isdecimal() and int(name) in params else name]
+        except (LookupError, ValueError):
+            raise QueryError("arguments", "no value is bound", expression=name, suggestion="pass as many values as the text has marks") from None
+
+    def _param(self, name: str) -> str:
+        return self.value(self.bound_value(name))
+
+    def value(self, v) -> str:
+        """A Python value as SQL text."""
+        if v is None:
+            return "null"
+        if isinstance(v, bool):
+            return str(v).lower()
+        if isinstance(v, str):
+            return quote(v)
+        if isinstance(v, float):
+            return f"{v!r}D" if math.isfinite(v) else f"double('{v}')"
+        if isinstance(v, int):
+            return f"{v}L" if abs(v) < 1 << 63 else f"cast('{v}' as decimal(38,0))"
+        if isinstance(v, decimal.Decimal):
+            return f"{v:f}BD"
+        if isinstance(v, datetime.datetime):
+            return f"timestamp '{v.isoformat(' ')}'"
+        if isinstance(v, datetime.date):
+            return f"date '{v.isoformat()}'"
+        if isinstance(v, list | tuple | set | frozenset):
+            return f"array({', '.join(mixed(self, [self.value(x) for x in v]))})"
+        if isinstance(v, dict):
+            keys, values = ([self.value(x) for x in part] for part in (v.keys(), v.values()))
+            return f"map({', '.join(x for pair in zip(mixed(self, keys), mixed(self, values)) for x in pair)})"
+        raise QueryError("arguments", "no SQL value", expression=type(v).__name__)
 
     def _column(self, parts: list[str]) -> str:
         whole = ".".join(parts)
@@ -244,13 +280,15 @@ class Scope:
         if self.aggs is None:
             raise QueryError("unsupported", "an aggregate can't stand here", expression=name)
         held, self.aggs = self.aggs, None
-        xs = [self.sql(a) for a in args if a[0] != "star"]
+        xs = [self.sql(a) for a in args if a[0] not in ("star", "query")]
         whole = [F.col(f"`{i}`").alias(c) for b in self.bounds for c, i in b.columns.items()]
         out = f"__a{len(held)}"
         order = [F.col(f"`{c}`") for c in self.low_order]
         value = F.expr(xs[0]) if xs else None
         d = F.expr(f"cast({xs[0]} as double)") if xs and name in ("sum", "avg") else value
         make = {"count": F.count, "sum": F.sum, "avg": F.avg, "max": F.max, "min": F.min}.get(name)
+        if name in ("count", "distinct_count"):
+            self.counts.add(out)
         if name == "count" and (not xs or args[0][0] == "number"):
             agg = A.Agg(out, F.count(F.lit(1)))
         elif name == "distinct_count" or name == "count" and modifier == "distinct":
@@ -261,16 +299,20 @@ class Scope:
             agg = A.Agg(out, F.sum_distinct(d) if name == "sum" and modifier else F.expr(f"avg(distinct cast({xs[0]} as double))") if name == "avg" and modifier else make(d))
         elif name == "take":
             counts = [int(self.constant(a)) for a in args[1:]] or [1]
-            agg = A.taken(out, value, order, *counts)
+            agg = A.taken(out, value, order, counts[0], counts[1] if len(counts) > 1 else None, modifier)
         elif name == "collect_list":
-            names = [a[1][-1] if a[0] == "column" else a[1] for a in args if a[0] != "star"]
-            row = F.struct(*[F.expr(x if a[0] == "column" else self.find([a[1]])).alias(n) for a, x, n in zip(args, xs, names)]) if xs else F.struct(*whole)
+            if args and args[0][0] == "query":
+                row = self.rows_of(args[0][1])
+            else:
+                names = [a[1][-1] if a[0] == "column" else a[1] for a in args if a[0] != "star"]
+                row = F.struct(*[F.expr(x if a[0] == "column" else self.find([a[1]])).alias(n) for a, x, n in zip(args, xs, names)]) if xs else F.struct(*whole)
             if modifier == "unique":
                 agg = A.unique(out, row, F.collect_list)
             elif modifier:
                 agg = A.Agg(out, F.sort_array(F.collect_set(row)))
             else:
-                agg = A.Agg(out, F.transform(F.sort_array(F.collect_list(F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], row.alias("r")))), lambda x: x["r"]))
+                held_rows = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], row.alias("r"))
+                agg = A.Agg(out, F.transform(F.sort_array(F.collect_list(F.when(row.isNotNull(), held_rows))), lambda x: x["r"]))
         elif name == "collect_row":
             agg = A.row_map(out, F.expr(xs[0]), F.expr(xs[1]), order)
         else:
@@ -282,11 +324,27 @@ class Scope:
         self.add(out, kind)
         return f"`{out}`"
 
+    def rows_of(self, q) -> Column:
+        """A sub-query over the rows of a group: its items for each row, null where its condition fails."""
+        if not isinstance(q, Query) or q.group or q.joins or q.order or q.limit or q.distinct or any(has_aggregate(e, self.low) for e, _ in q.items):
+            raise QueryError("unsupported", "over a group's rows a query may only project and filter")
+        fields = []
+        for e, a in q.items:
+            if e[0] == "star":
+                fields += [f"`{i}` as `{c}`" for b in self.bounds for c, i in b.columns.items()]
+            else:
+                fields.append(f"{self.sql(e)} as `{a}`")
+        row = F.expr(f"struct({', '.join(fields)})")
+        return row if q.where is None else F.when(F.expr(self.condition(q.where, True)), row)
+
     def constant(self, e: tuple) -> str:
         if e[0] == "unary":
             return e[1] + self.constant(e[2])
         if e[0] == "param":
-            return self._param(e[1]).rstrip("LD").strip("'")
+            v = self.bound_value(e[1])
+            if not isinstance(v, str | int | float):
+                raise QueryError("arguments", "a plain value is needed here", expression=f":{e[1]}")
+            return str(v)
         if e[0] not in ("number", "string"):
             raise QueryError("arguments", "a constant is needed here", expression=str(e[1:]))
         return e[1]
@@ -333,7 +391,11 @@ class Scope:
         parts = []
         for i in inner:
             y = self.sql(i)
-            parts.append(f"coalesce(array_contains({y}, {x}), false)" if isinstance(self.type(y), T.ArrayType) else compare(self, "=", x, y))
+            if isinstance(self.type(y), T.ArrayType):
+                have, want = alike(self, y, f"array({x})")
+                parts.append(f"coalesce(array_contains({have}, get({want}, 0)), false)")
+            else:
+                parts.append(compare(self, "=", x, y))
         if all(i[0] in ("number", "string") for i in inner):
             plain = f"{x} in ({', '.join(self.sql(i) for i in inner)})"
             same = all(numeric(self.type(x)) == (i[0] == "number") for i in inner) and not temporal(self.type(x))
@@ -353,6 +415,10 @@ class Lowering:
     def __init__(self, engine, params, settings: dict) -> None:
         self.engine, self.spark, self.params, self.settings = engine, engine.spark, params, dict(settings)
         self.views: list[str] = []
+        self.named_queries: dict[str, Result] = {}
+
+    def lookup(self, name: str) -> Result:
+        return self.named_queries[name] if name in self.named_queries else self.engine.lookup(name)
 
     @property
     def compat(self) -> bool:
@@ -376,7 +442,7 @@ class Lowering:
             return Bound("", self.spark.range(1).withColumnRenamed("id", "__one"), {}, ["__one"])
         alias = s.alias or (s.name if s.kind == "table" else f"$t{k}")
         if s.kind == "table":
-            t = self.engine.lookup(s.name)
+            t = self.lookup(s.name)
             return self.bound(alias, t, s.columns)
         if s.kind == "query":
             return self.bound(alias, self.query(s.query, outer), s.columns)
@@ -403,7 +469,7 @@ class Lowering:
     def named(self, x) -> Result:
         if isinstance(x, Source):
             return self.query(x.query)
-        return self.engine.lookup(".".join(x[1]))
+        return self.lookup(".".join(x[1]))
 
     def values(self, s: Source, alias: str, outer: Scope | None) -> Bound:
         scope = Scope(self, [], outer)
@@ -436,9 +502,21 @@ class Lowering:
                 key = w
             else:
                 raise QueryError("invalid_option", "merge_by_key", expression=str(w))
-        frames = {n: r.df.drop(*[c for c in r.df.columns if c.startswith("__")]) for n, r in tables.items()}
-        order = {n: [c for c in r.order if c in frames[n].columns and c != key] or [c for c in frames[n].columns if c != key] for n, r in tables.items()}
-        df = M.merge_by_key(frames, key, order=order, ordered=False, **options)
+        down = options.get("descending", False)
+        frames, order = {}, {}
+        for n, r in tables.items():
+            df = r.df
+            if key in df.columns and r.order and r.order[0] != key and set(r.order) < set(df.columns):
+                df = M.check_sorted(df, key, r.order, down, n)  # a source whose rows arrive in another order than the key's
+            hidden = [c for c in df.columns if c.startswith("__") and c != "__ord"]
+            frames[n] = df.drop(*hidden)
+            order[n] = [c for c in r.order if c in frames[n].columns and c != key] or [c for c in frames[n].columns if c != key]
+        if options.get("duplicates", "error") != "error":
+            options.setdefault("max_rows", int(self.settings.get("merge_by_key.maxRowsPerKey", M.MAX_ROWS)))
+        df = M.merge_by_key(frames, key, order=order, **options)
+        df = df.drop(*[c for c in df.columns if c.endswith("__ord")])
+        if down and isinstance(df.schema[key].dataType, T.NumericType):
+            return self.bound(alias, Result(df.withColumn("__ord", -F.col(key)), ["__ord"]))
         return self.bound(alias, Result(df, [key]))
 
     def unnest(self, left: Bound, s: Source, alias: str, outer_join: bool, outer: Scope | None = None, scope: Scope | None = None) -> Bound:
@@ -512,6 +590,15 @@ class Lowering:
 
     # queries
     def query(self, q, outer: Scope | None = None) -> Result:
+        if isinstance(q, With):
+            for name, columns, inner in q.names:
+                r = self.query(inner, outer)
+                shown = [c for c in r.df.columns if not c.startswith("__")]
+                if columns and len(columns) != len(shown):
+                    raise QueryError("arguments", f"{name} has {len(shown)} columns", expression=", ".join(columns))
+                to = dict(zip(shown, columns or shown))
+                self.named_queries[name] = Result(r.df.withColumnsRenamed(to), [to.get(c, c) for c in r.order], to.get(r.time, r.time))
+            return self.query(q.body, outer)
         if isinstance(q, SetQuery):
             left, right = self.query(q.left, outer), self.query(q.right, outer)
             hide = lambda df: df.drop(*[c for c in df.columns if c.startswith("__")])
@@ -552,6 +639,8 @@ class Lowering:
         b = self.source(s, k)
         both = Scope(self, [*bounds, b])
         both.extra = list(df.schema)
+        if j.on and j.on[0] == "using":
+            return self.using(bounds, df, b, j)
         on = F.expr(both.condition(j.on, True)) if j.on else None
         kind = j.kind
         if self.compat and kind == "right" and on is not None:
@@ -561,6 +650,22 @@ class Lowering:
         how = {"left semi": "left_semi", "left anti": "left_anti"}.get(kind, "inner" if kind in ("cross", "natural") else kind)
         return (df.crossJoin(b.df) if on is None else df.join(b.df, on, how)), b
 
+    def using(self, bounds: list[Bound], df: DataFrame, b: Bound, j) -> tuple[DataFrame, Bound]:
+        """A join on columns of equal names; each stands once, with the value of whichever side has one."""
+        pairs = []
+        for c in j.on[1]:
+            left = next((x.columns[c] for x in bounds if c in x.columns), None)
+            if left is None or c not in b.columns:
+                raise QueryError("unknown_name", "no such column on both sides", expression=c)
+            pairs.append((left, b.columns[c]))
+        both = Scope(self, [*bounds, b])
+        both.extra = [*df.schema, *b.df.schema]
+        on = F.expr(" and ".join(compare(both, "=", f"`{x}`", f"`{y}`")[len("coalesce(") : -len(", false)")] for x, y in pairs))
+        out = df.join(b.df, on, {"left semi": "left_semi", "left anti": "left_anti", "cross": "inner", "natural": "inner"}.get(j.kind, j.kind))
+        if j.kind in ("right", "full"):
+            out = out.withColumns({x: F.coalesce(x, y) for x, y in pairs})
+        return out, b
+
     def select(self, q: Query, outer: Scope | None) -> Result:
         first = self.source(q.source, 0, outer)
         bounds, df, order = [first], first.df, first.order
@@ -579,7 +684,7 @@ class Lowering:
             scope.fixed["row.index"] = "`__row_index`"
             scope.add("__row_index", T.LongType())
             if first.time and mentions(q, "row.elapsed"):
-                df = df.withColumn("__row_elapsed", R.elapsed([], ["__row_index"], F.col(f"`{first.time}`")))
+                df = R.elapsed(df, [f"`{c}`" for c in order], F.col(f"`{first.time}`"), "__row_elapsed")
                 scope.fixed["row.elapsed"] = "`__row_elapsed`"
                 scope.add("__row_elapsed", T.LongType())
         grouped = bool(q.group) or any(has_aggregate(e, self) for e, _ in q.items)
@@ -622,10 +727,11 @@ class Lowering:
     def plain(self, q: Query, scope: Scope, df: DataFrame, order: list[str], time: str | None) -> Result:
         items = []
         for k, (e, a) in enumerate(q.items):
-            if e[0] == "call" and e[1] in EXPANSIONS:
-                if len(e[2]) != 1:
+            own = self.engine.expansions.get(e[1]) if e[0] == "call" else None
+            if e[0] == "call" and (own or e[1] in EXPANSIONS):
+                if not own and len(e[2]) != 1:
                     raise QueryError("arguments", f"{e[1]} takes one list", expression=e[1])
-                x = scope.sql(e[2][0])
+                x = own(*[scope.sql(a) for a in e[2]]) if own else scope.sql(e[2][0])
                 x = x if isinstance(scope.type(x), T.ArrayType) else f"array_compact(array({x}))"
                 kind = scope.type(x).elementType
                 df = df.select("*", F.explode(F.expr(x)).alias(f"__x{k}"))
@@ -642,6 +748,8 @@ class Lowering:
                 keys = [scope.sql(e) for e in q.distinct_on if e[0] != "star"] or [f"`{i}`" for b in scope.bounds for i in b.columns.values()]
                 df = df.withColumns({f"__d{i}": F.expr(s) for i, s in enumerate(keys)})
                 df = R.distinct_on(df, [f"__d{i}" for i in range(len(keys))], [f"`{c}`" for c in order])
+            elif by_name := scope.setting("distinctBy", None):
+                df = self.engine.distinct_by(by_name)(df, [i for b in scope.bounds for i in b.columns.values()], order)
             elif self.compat:
                 df = df.dropDuplicates([i for b in scope.bounds for i in b.columns.values()])
         by = self.ordering(q, scope)
@@ -657,6 +765,10 @@ class Lowering:
             df = R.top(df, by, offset, limit) if by or limit is not None or offset else df
         out = self.project(df, shown)
         names = {s.strip("`"): n for n, s in shown}
+        if q.order and not size:  # the rows now arrive in this order, as far as plain ascending columns say it
+            sorted_by = [names.get(scope.sql(e).strip("`")) for e, down, nulls in q.order if not down and nulls != "last"]
+            if None not in sorted_by and len(sorted_by) == len(q.order):
+                return Result(out, sorted_by, names.get(time) if time else None)
         kept = [names[c] for c in order if c in names]
         return Result(out, kept if len(kept) == len(order) else list(out.columns), names.get(time) if time else None)
 
@@ -666,6 +778,12 @@ class Lowering:
         for k, e in enumerate(q.group):
             name = f"__k{k}"
             special = e[1] if e[0] == "call" else ""
+            if special in self.engine.groupings:
+                df = self.engine.groupings[special](df, keys, order, [scope.constant(a) for a in e[2]], name)
+                scope.add(name, df.schema[name].dataType)
+                keys.append(name)
+                levels.append(name)
+                continue
             if special in ("interval", "_window") or special in ("take", "trace"):
                 args = [scope.constant(a) for a in e[2]]
                 texts = [a[0] == "string" for a in e[2]]
@@ -727,6 +845,10 @@ class Lowering:
         if aggregated:
             shown += [(n, s) for n, s in shown_keys.items() if n not in dict(shown) and s not in dict(shown).values()]
         out = A.aggregate(df, keys, scope.aggs)
+        first = q.group[0] if len(q.group) == 1 else ("", "")
+        if first[0] == "call" and first[1] == "interval" and len(first[2]) == 1 and scope.setting("interval.empty", "false") in ("true", True):
+            counts = {a.name: 0 for a, in ((x,) for x in scope.aggs) if a.name in scope.counts}
+            out = G.dense(out, keys[0], millis(scope.constant(first[2][0])), counts)
         if having:
             out = out.where(F.expr(having))
         offset, limit = self.limits(q, scope)
