@@ -54,13 +54,35 @@ def before() -> WindowSpec:
     return W.orderBy("__q").rowsBetween(W.unboundedPreceding, -1)
 
 
+def sequenced(df: DataFrame, order: list, index: str | None = None, value: Column | None = None, previous: str | None = None) -> DataFrame:
+    """Add the 1-based number of each row in ``order`` as ``index``, and the value of the row before as ``previous``.
+
+    Both are taken inside ranges; a range adds the sizes of the ranges before it, and its first row takes the value of the
+    last row before it.
+    """
+    by = columns(order)
+    placed = in_ranges(df if value is None else df.withColumn("__v", value), order)
+    inside = W.partitionBy("__p").orderBy(*by)
+    number = F.row_number().over(inside)
+    last, make = [F.count("*").alias("n")], [F.coalesce(F.sum("n").over(before()), F.lit(0)).alias("__start")]
+    if value is not None:
+        last.append(F.max_by(F.struct("__v"), F.struct(*[c.alias(f"k{i}") for i, c in enumerate(by)])).alias("v"))
+        make.append(F.last("v", ignorenulls=True).over(before()).alias("__carry"))
+    ends = carried(placed, last, make)
+    out = placed.withColumn("__n", number)
+    if value is not None:
+        out = out.withColumn("__lag", F.lag("__v").over(inside))
+    out = out.join(F.broadcast(ends), F.col("__p") == F.col("__q"))  # a row per range
+    if value is not None:
+        out = out.withColumn(previous, F.when(F.col("__n") == 1, F.col("__carry.__v")).otherwise(F.col("__lag"))).drop("__v", "__lag", "__carry")
+    if index is not None:
+        out = out.withColumn(index, (F.col("__start") + F.col("__n")).cast("bigint"))
+    return out.drop("__p", "__q", "__n", "__start")
+
+
 def global_index(df: DataFrame, order: list, name: str = "__index") -> DataFrame:
-    """1-based number of each row in ``order`` over all rows: numbers inside ranges, plus the sizes of the ranges before."""
-    placed = in_ranges(df, order)
-    starts = carried(placed, [F.count("*").alias("n")], [F.coalesce(F.sum("n").over(before()), F.lit(0)).alias("__start")])
-    numbered = placed.withColumn("__n", F.row_number().over(W.partitionBy("__p").orderBy(*columns(order))))
-    joined = numbered.join(F.broadcast(starts), F.col("__p") == F.col("__q"))  # a row per range
-    return joined.withColumn(name, (F.col("__start") + F.col("__n")).cast("bigint")).drop("__p", "__q", "__n", "__start")
+    """1-based number of each row in ``order`` over all rows."""
+    return sequenced(df, order, name)
 
 
 def index_in(df: DataFrame, keys: list, order: list, name: str = "__index") -> DataFrame:
@@ -71,22 +93,14 @@ def index_in(df: DataFrame, keys: list, order: list, name: str = "__index") -> D
 
 
 def previous(df: DataFrame, order: list, value: Column, name: str) -> DataFrame:
-    """Add the value of the row before in ``order``, null for the first: by lag in ranges, the first of a range from the last
-    of the ranges before."""
-    by = columns(order)
-    placed = in_ranges(df.withColumn("__v", value), order)
-    held = F.max_by(F.struct("__v"), F.struct(*[c.alias(f"k{i}") for i, c in enumerate(by)])).alias("v")
-    ends = carried(placed, [held], [F.last("v", ignorenulls=True).over(before()).alias("__carry")])
-    inside = W.partitionBy("__p").orderBy(*by)
-    joined = placed.join(F.broadcast(ends), F.col("__p") == F.col("__q"))  # a row per range
-    first = F.row_number().over(inside) == 1
-    return joined.withColumn(name, F.when(first, F.col("__carry.__v")).otherwise(F.lag("__v").over(inside))).drop("__v", "__p", "__q", "__carry")
+    """Add the value of the row before in ``order``, null for the first."""
+    return sequenced(df, order, None, value, name)
 
 
-def elapsed(df: DataFrame, order: list, at: Column, name: str) -> DataFrame:
-    """Add the milliseconds since the row before in ``order``."""
+def index_and_elapsed(df: DataFrame, order: list, at: Column, index: str, name: str) -> DataFrame:
+    """Add the number of each row in ``order`` and the milliseconds since the row before."""
     ms = F.unix_millis(at.cast("timestamp"))
-    return previous(df, order, ms, "__ms").withColumn(name, ms - F.col("__ms")).drop("__ms")
+    return sequenced(df, order, index, ms, "__ms").withColumn(name, ms - F.col("__ms")).drop("__ms")
 
 
 def take(df: DataFrame, keys: list, order: list, n: int, m: int | None = None) -> DataFrame:

@@ -680,13 +680,12 @@ class Lowering:
         if q.where is not None:
             df = df.where(F.expr(scope.condition(q.where, True)))
         if mentions(q, "row.index") or mentions(q, "row.elapsed"):
-            df = R.global_index(df, [f"`{c}`" for c in order], "__row_index")
-            scope.fixed["row.index"] = "`__row_index`"
-            scope.add("__row_index", T.LongType())
-            if first.time and mentions(q, "row.elapsed"):
-                df = R.elapsed(df, [f"`{c}`" for c in order], F.col(f"`{first.time}`"), "__row_elapsed")
-                scope.fixed["row.elapsed"] = "`__row_elapsed`"
-                scope.add("__row_elapsed", T.LongType())
+            by = [f"`{c}`" for c in order]
+            timed = first.time and mentions(q, "row.elapsed")
+            df = R.index_and_elapsed(df, by, F.col(f"`{first.time}`"), "__row_index", "__row_elapsed") if timed else R.global_index(df, by, "__row_index")
+            for name in ["index", "elapsed"][: 1 + bool(timed)]:
+                scope.fixed[f"row.{name}"] = f"`__row_{name}`"
+                scope.add(f"__row_{name}", T.LongType())
         grouped = bool(q.group) or any(has_aggregate(e, self) for e, _ in q.items)
         return self.grouped(q, scope, df, order, first.time) if grouped else self.plain(q, scope, df, order, first.time)
 
