@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
+#: Settings under which scratch tables are written.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 TRIM = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -31,6 +33,17 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """names, lengthened until no column is called so (column names don't heed case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -68,9 +81,21 @@ class Scratch:
         return f"{self.root}/{part}"
 
     def save(self, df: DataFrame, part: str, *by: str) -> DataFrame:
-        """Write df and read it again: the lineage ends here and survives lost executors."""
-        writer = df.write.mode("overwrite")
-        (writer.partitionBy(*by) if by else writer).parquet(self.path(part))
+        """Write df and read it again: the lineage ends here and survives lost executors.
+
+        What is written isn't shuffled again, so Spark may delete its shuffle files as soon as the table is there; and
+        what goes to Python workers meanwhile goes in small batches.
+        """
+        conf = self.spark.conf
+        before = {k: conf.get(k, None) for k in WRITING}
+        for k, v in WRITING.items():
+            conf.set(k, v)
+        try:
+            writer = df.write.mode("overwrite")
+            (writer.partitionBy(*by) if by else writer).parquet(self.path(part))
+        finally:
+            for k, v in before.items():
+                conf.unset(k) if v is None else conf.set(k, v)
         return self.load(part, df)
 
     def load(self, part: str, like: DataFrame) -> DataFrame:
