@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch, ordered_index, table
+from .common import WORD, Scratch, fresh, ordered_index, partitions, table
 
 #: Up to so many sources, their table is broadcast; beyond, it is joined by a shuffle.
 BROADCAST_SOURCES = 10_000
-#: Rows of a source that one window partition holds, about.
+#: Rows of a source that one window partition holds at most, about; small inputs are cut further, by the partitions.
 BUCKET_ROWS = 20_000
 
 
@@ -62,9 +62,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), cap: int
         .withColumn("rest", F.greatest(F.lit(0.0), (rate - F.col("whole")) * F.col("source_size")))
         .select(F.col("source").alias("__source"), "idx", "source_size", "target", "whole", "rest")
     )
-    buckets = max(16, -(-(n_rows or 0) // BUCKET_ROWS))
+    buckets = max(4 * partitions(spark), -(-(n_rows or 0) // BUCKET_ROWS))
+    part = F.least(F.floor((F.col("h") / 2.0**64 + 0.5) * buckets), F.lit(buckets - 1))  # ranges of the hash: the order is that of h alone
     plan = F.broadcast(plan) if n_sources <= BROADCAST_SOURCES else plan
-    dealt = sizes.join(plan, F.col("source").eqNullSafe(F.col("__source"))).withColumn("bucket", F.pmod("h", F.lit(buckets)))
+    dealt = sizes.join(plan, F.col("source").eqNullSafe(F.col("__source"))).withColumn("bucket", part)
     before = W.partitionBy("idx").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     starts = (
         dealt.groupBy("idx", "bucket").agg(F.sum("size").alias("words"))
@@ -86,7 +87,11 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; rows of equal doc_id get the most repeats that one of them has."""
-    taken = mix(docs).groupBy(F.col("doc_id").alias("__id")).agg(F.max("repeats").alias("__n")).where("__n > 0")
-    joined = docs.join(taken, docs["doc_id"].eqNullSafe(F.col("__id")))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*[docs[c] for c in docs.columns])
+    """Each document as often as the mix takes it; rows of equal doc_id get the most repeats that one of them has.
+
+    Null text and null source as in ``mix``. An empty table stays empty; columns may have any names, and all are returned.
+    """
+    key, times, copy = fresh(docs.columns, "__id", "__n", "__copy")
+    taken = mix(docs).groupBy(F.col("doc_id").alias(key)).agg(F.max("repeats").alias(times)).where(F.col(times) > 0)
+    joined = docs.join(taken, docs["doc_id"].eqNullSafe(F.col(key)))
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*[docs[f"`{c}`"] for c in docs.columns])

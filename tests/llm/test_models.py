@@ -212,7 +212,7 @@ def brute_pipeline(spark, docs, rows):
         target = 3 * per[s] if s in capped else weight[s] * level
         rate = target / per[s] if per[s] else 0
         seen = 0
-        for r in sorted((r for r in kept if r[3] == s), key=lambda r: (hashed[r[0]] % 16, hashed[r[0]])):
+        for r in sorted((r for r in kept if r[3] == s), key=lambda r: hashed[r[0]]):
             seen += size[r[0]]
             more = size[r[0]] and seen - size[r[0]] / 2 < (rate - math.floor(rate + 1e-12)) * per[s]
             got = tok.encode(r[1], add_special_tokens=False).ids
