@@ -22,10 +22,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, join_counted, mix64, open_store, partitions, release, small_batches, table, word_hashes
+from .common import Scratch, components, fresh, join_counted, mix64, open_store, partitions, release, small_batches, table, word_hashes
 
 WORDS = 5
 KEY_BITS = 40
+#: Counts of a block share a 64-bit number with the key.
+COUNT_MASK = (1 << 64 - KEY_BITS) - 1
 BITMAP = 2048
 #: So many elements before a set's position in a list tell whether a pair has met in an earlier list.
 BEFORE = 8
@@ -160,7 +162,7 @@ def send_keys(docs: DataFrame, parts: int) -> DataFrame:
                 continue
             keys, counts = np.unique(np.concatenate([*held, np.zeros(0, np.uint64)]), return_counts=True)
             held, cuts = [], np.searchsorted(keys, edges)
-            rows = [(p, block.number, squeeze_keys(keys[i:j]), squeeze(np.minimum(counts[i:j], 255).astype(np.uint8))) for p, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])) if i < j]
+            rows = [(p, block.number, squeeze_keys(keys[i:j]), squeeze(np.minimum(counts[i:j], COUNT_MASK).astype("<u4"))) for p, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])) if i < j]
             rows.append((-1, block.number, f"{block.rows}:{block.mark}".encode(), b""))
             for at in range(0, len(rows), 64):
                 cols = zip(*rows[at : at + 64])
@@ -171,19 +173,26 @@ def send_keys(docs: DataFrame, parts: int) -> DataFrame:
     return docs.mapInArrow(run, BLOBS)
 
 
+def levels_of(total: np.ndarray) -> np.ndarray:
+    """Frequencies in a byte: as they are below 128, then six steps per doubling, so that the order from rare to frequent
+    holds up to some 300 million sets."""
+    scaled = 128 + np.floor(6 * np.log2(np.maximum(total, 128) / 128))
+    return np.where(total < 128, total, np.minimum(scaled, 255)).astype(np.uint8)
+
+
 def answer(group: pd.DataFrame) -> pd.DataFrame:
-    """Of one owner: for each block the keys that several sets hold, with the number of sets up to 255.
+    """Of one owner: for each block the keys that several sets hold, with their frequencies' levels.
 
     Keys and counts are sorted in place as one array of 64-bit integers; blocks are expanded one at a time.
     """
-    every = np.concatenate([expand_keys(k) << np.uint64(8) | expand(c, "u1") for k, c in zip(group["keys"], group["counts"])])
+    every = np.concatenate([expand_keys(k) << np.uint64(64 - KEY_BITS) | expand(c, "<u4") for k, c in zip(group["keys"], group["counts"])])
     every.sort()
-    counts = (every & np.uint64(255)).astype(np.uint32)
-    every >>= np.uint64(8)
+    counts = (every & np.uint64(COUNT_MASK)).astype(np.uint32)
+    every >>= np.uint64(64 - KEY_BITS)
     first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
-    total = np.add.reduceat(counts, first)
+    total = np.add.reduceat(counts, first, dtype=np.int64)
     common = total > 1
-    keys, level = every[first[common]], np.minimum(total[common], 255).astype(np.uint8)
+    keys, level = every[first[common]], levels_of(total[common])
     del every, counts, first, total, common
     out = []
     for b, blob in zip(group["block"], group["keys"]):
@@ -405,19 +414,24 @@ def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """docs with __row, a number by file and place in it. It is the same in every scan of a table, however it is split."""
-    place = docs.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__at"))
-    files = sorted(r[0] for r in place.select("__file").distinct().collect())
-    known = docs.sparkSession.createDataFrame(list(enumerate(files)), "__k long, __file string")
-    row = F.shiftleft("__k", 40).bitwiseOR(F.col("__at"))
-    return place.join(F.broadcast(known), "__file").select(*docs.columns, row.alias("__row"))
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a number by file and place in it. It is the same in every scan of a table, however it is split."""
+    file, at, k = fresh([*docs.columns, name], "__file", "__at", "__k")
+    place = docs.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(at))
+    files = sorted(r[0] for r in place.select(file).distinct().collect())
+    known = docs.sparkSession.createDataFrame(list(enumerate(files)), f"{k} long, {file} string")
+    row = F.shiftleft(k, 40).bitwiseOR(F.col(at))
+    return place.join(F.broadcast(known), file).select(*[f"`{c}`" for c in docs.columns], row.alias(name))
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component one row, that of the smallest doc_id; null ids come last, rows of equal ids by their place."""
-    rows = numbered(docs)
-    parts = jaccard_components(rows.select(F.col("__row").alias("doc_id"), "text")).select(F.col("doc_id").alias("__row"), "component_id")
-    best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row"))
-    stay = parts.join(rows.select("__row", "doc_id"), "__row").groupBy("component_id").agg(best.alias("__best")).select("__best.__row")
-    return rows.join(stay, "__row").select(*docs.columns)
+    """Of each component one row, that of the smallest doc_id; null ids come last, rows of equal ids by their place.
+
+    docs is a table of files. Null and empty texts are components of their own; columns may have any names.
+    """
+    (name,) = fresh(docs.columns, "__row")
+    rows = numbered(docs, name)
+    parts = jaccard_components(rows.select(F.col(name).alias("doc_id"), "text")).select(F.col("doc_id").alias(name), "component_id")
+    best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", name))
+    stay = parts.join(rows.select(name, "doc_id"), name).groupBy("component_id").agg(best.alias("best")).select(F.col(f"best.{name}").alias(name))
+    return rows.join(stay, name).select(*[f"`{c}`" for c in docs.columns])
