@@ -270,7 +270,7 @@ add("date_units", "select event_id, hour(ts) h, minute(ts) mi, second(ts) s, day
     "select event_id, hour(ts)::int h, minute(ts)::int mi, second(ts)::int s, day(ts)::int d, epoch_ms(date_trunc('month', ts)) m, epoch_ms(date_trunc('year', ts)) y, epoch_ms(date_trunc('minute', ts)) n, epoch_ms(date_trunc('day', ts)) t, epoch_us(ts - interval '3 weeks') // 1000 w, epoch_us(ts + interval '90 seconds') // 1000 a from events")
 add("date_parts", "select event_id, date_part('year', ts) y, date_part('month', ts) m, date_part('week', ts) w, date_part('day', ts) d, date_part('hour', ts) h, date_part('dow', ts) wd, date_part('doy', ts) dy, date_part('epoch', ts) e, date_part('millisecond', ts) ms from events",
     "select event_id, year(ts) y, month(ts) m, week(ts) w, day(ts) d, hour(ts) h, isodow(ts) wd, dayofyear(ts) dy, cast(floor(epoch(ts)) as bigint) e, epoch_us(ts) // 1000 % 1000 ms from events")
-add("json_paths", "select event_id, json_extract(props, '$.k') a, json_value(props, '$.k') b, json_query(d, '$.l') c, json_extract_path(d, 'o', 'x') e, json_extract_path_text(d, 'o', 'x') f, json_get(d, p) g, d->'l'->>1 h, d#>'{o,x}' i from (select event_id, props, json_object('l', json_array(event_id, user_id), 'o', json_object('x', event_type)) d, '$.o.x' p from events) z",
+add("json_paths", "select event_id, json_extract(props, '$.k') a, json_value(props, '$.k') b, json_query(d, '$.l') c, json_extract_path(d, 'o', 'x') e, json_extract_path_text(d, 'o', 'x') f, json_get(d, p) g, d->'l'->>1 h, d#>'{o,x}' i from (select event_id, props, concat('{\"l\":', json_array(event_id, user_id), ',\"o\":', json_object('x', event_type), '}') d, '$.o.x' p from events) z",
     "select event_id, json_extract_string(props, '$.k') a, json_extract_string(props, '$.k') b, '[' || event_id || ',' || user_id || ']' c, event_type e, event_type f, event_type g, cast(user_id as varchar) h, event_type i from events")
 add("json_build", "select c_custkey, json_object('name', c_name, 'n', c_nationkey, 'odd', t) a, json_array(c_custkey, t, null, true) b, json_quote(t) q, json_unquote(json_quote(t)) u, json_valid(json_array(t)) v from (select c_custkey, c_name, c_nationkey, concat(c_mktsegment, '\"\\', c_custkey) t from customer) x",
     "select c_custkey, cast(json_object('name', c_name, 'n', c_nationkey, 'odd', t) as varchar) a, cast(json_array(c_custkey, t, null, true) as varchar) b, cast(to_json(t) as varchar) q, t u, true v from (select *, c_mktsegment || '\"\\' || c_custkey t from customer)")
