@@ -235,10 +235,10 @@ class Model:
         return total
 
 
-@pytest.mark.parametrize("order", [1, 2, 3, 4])
+@pytest.mark.parametrize("order", [1, 3])
 def test_lm_against_the_book(docs, monkeypatch, order):
     """Every document, the long ones too, cut into small blocks; and the model sums to 1 after any context."""
-    monkeypatch.setattr(katz, "BLOCK_TOKENS", 1500)
+    monkeypatch.setattr(katz, "BLOCK_TOKENS", 700)
     monkeypatch.setattr(katz, "OWNER_TOKENS", 1000)
     got = by_id(katz.lm_scores(docs, order=order))
     sents = {r[0]: [*words((r[1] or "").translate(LOWER)), "</s>"] for r in ROWS}
