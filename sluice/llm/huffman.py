@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .bpe import byte_chars, vocabulary
 from .common import Scratch, open_store, partitions, release, small_batches, table
-from .tokens import PATTERN, ChunkCache, Memory, check_rules
+from .tokens import PATTERN, ChunkTable, Memory, check_rules
 
 #: Width of the decoding table, if the ids fit.
 MAX_BITS = 16
@@ -30,7 +30,9 @@ BLOCK = 1024
 #: A frame of a file ends with the document that takes it over so many tokens.
 FRAME = 1 << 21
 #: Words that a worker remembers.
-WORDS = 400_000
+WORDS = 200_000
+#: Texts are tokenized together up to so many bytes; a batch of more goes alone.
+GROUP = 8 << 20
 HEAD = struct.Struct("<4sIIQ")  # magic, documents, blocks, bytes of code
 MAGIC = b"SLHF"
 TABLE = struct.Struct("<4sII")  # magic, ids of the vocabulary, bytes of their code lengths
@@ -150,10 +152,11 @@ def unpack(data: bytes, offsets: np.ndarray, n: int, code: Code) -> np.ndarray:
 
 # --- tokenizing ----------------------------------------------------------------------------------
 
-_made: dict[str, ChunkCache] = {}
+_made: dict[str, ChunkTable] = {}
+STOPS = (".", ",")
 
 
-def library_cache(path: str) -> ChunkCache:
+def library_cache(path: str) -> ChunkTable:
     """Chunks encoded by the tokenizers library, each once.
 
     The library's model encodes a word; chunks with added tokens go through the whole tokenizer.
@@ -187,11 +190,18 @@ def library_cache(path: str) -> ChunkCache:
             return [array("I", e.ids).tobytes() for e in tok.encode_batch(chunks, add_special_tokens=False)]
         words.size = len(words.young)
         words.turn(0)
-        get = words.young.get
-        # A chunk of letters alone, with or without its space, is one word.
-        return [get(c) or word(c) if c[1:].isalpha() and (c[0] == " " or c.isalpha()) else b"".join([get(w) or word(w) for w in find(c)]) for c in chunks]
-
-    _made[path] = ChunkCache(encode)
+        get, out = words.young.get, []
+        for c in chunks:
+            # A chunk of letters alone, with or without its space, is one word; a full stop or comma behind them is another.
+            if c[1:].isalpha() and (c[0] == " " or c.isalpha()):
+                out.append(get(c) or word(c))
+            elif c[-1:] in STOPS and c[1:-1].isalpha() and (c[0] == " " or c[0].isalpha()):
+                out.append((get(c[:-1]) or word(c[:-1])) + (get(c[-1]) or word(c[-1])))
+            else:
+                out.append(b"".join([get(w) or word(w) for w in find(c)]))
+        return out
+
+    _made[path] = ChunkTable(encode)
     return _made[path]
 
 
@@ -212,21 +222,37 @@ FILES = "pid int, path string, tokens long"
 ROWS = "path string, doc_id long, place long, start long, n_tokens long, ids_crc32 long"
 
 
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Consecutive batches as one, up to GROUP bytes: the more texts, the fewer distinct chunks for each."""
+    held, size = [], 0
+    for b in batches:
+        if held and size + b.nbytes > GROUP:
+            some, held, size = pa.concat_batches(held), [], 0
+            yield some
+        if b.num_rows:
+            held.append(b)
+            size += b.nbytes
+    if held:
+        yield pa.concat_batches(held)
+
+
 def write_tokens(docs: DataFrame, scratch: Scratch, path: str, end_id: int = 0) -> tuple[DataFrame, list[tuple[str, int]]]:
     """Tokenize and write docs in ascending doc_id order (null first): the files' table, each file's path and first token."""
     spark = docs.sparkSession
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, counts = library_cache(path), np.zeros(0, np.int64)
-        end = end_id.to_bytes(4, "little")
-        for b in batches:
-            for some in (b.slice(at, 512) for at in range(0, b.num_rows, 512)):
-                raw = [x + end for x in cache.ids(["" if t is None else t for t in some.column(1).to_pylist()])]
-                got = np.bincount(np.frombuffer(b"".join(raw), "<u4"), minlength=len(counts))
+        cache, counts = library_cache(path), np.zeros(end_id + 1, np.int64)
+        for some in _together(batches):
+            ids, ends = cache.ids(some.column(1))
+            for k in range(0, len(ids), FRAME):
+                got = np.bincount(ids[k : k + FRAME], minlength=len(counts))
                 got[: len(counts)] += counts
                 counts = got
-                ids = [np.frombuffer(x, "<u4") for x in raw]
-                yield pa.RecordBatch.from_arrays([pa.array([0] * len(ids), pa.int32()), some.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([_squeeze(x) for x in ids], pa.binary())], ["kind", "doc_id", "n", "ids"])
+            counts[end_id] += len(ends)
+            parts = [np.append(ids[a:b], np.uint32(end_id)) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(parts)), pa.int32()), some.column(0), pa.array([len(x) for x in parts], pa.int64()), pa.array([_squeeze(x) for x in parts], pa.binary())], ["kind", "doc_id", "n", "ids"])
+            del ids, ends, parts
+            release()
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(used)), pa.int32()), pa.array(used, pa.int64()), pa.array(counts[used], pa.int64()), pa.nulls(len(used), pa.binary())], ["kind", "doc_id", "n", "ids"])
         release()

@@ -6,11 +6,17 @@ import json
 import re
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 #: Fixed value: the pattern by which byte-level BPE of this vocabulary cuts texts into words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A text without these is cut at every space; they are a superset of the white space that patterns know.
 _ODD = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
+#: As a pattern of Arrow, for a text behind a line feed: what keeps it from being cut at every space.
+_ODD_ARROW = r"  | \n|\n | \z|[\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
 def check_rules(path: str) -> dict:
@@ -37,6 +43,21 @@ def cut(text: str) -> list[str]:
     return text.split(" ")
 
 
+def cut_all(texts: pa.Array) -> pa.ListArray:
+    """The chunks of each text, as cut gives them, with a line feed before the first of a text."""
+    if texts.nbytes >= 1 << 30:
+        texts = texts.cast(pa.large_string())  # with the line feeds, offsets of 32 bits might not do
+    marked = pc.binary_join_element_wise(pa.scalar("\n", texts.type), texts, pa.scalar("", texts.type))
+    odd = pc.match_substring_regex(marked, _ODD_ARROW).to_numpy(zero_copy_only=False)
+    if not odd.any():
+        return pc.split_pattern(marked, " ")
+    plain = pc.split_pattern(marked.filter(pa.array(~odd)), " ")
+    others = pa.array([cut(t) for t in marked.filter(pa.array(odd)).to_pylist()], plain.type)
+    place = np.empty(len(odd), np.int64)
+    place[np.argsort(odd, kind="stable")] = np.arange(len(odd))
+    return pa.concat_arrays([plain, others]).take(pa.array(place))
+
+
 class Memory:
     """A bounded mapping of two generations: what the older one holds and nobody asks for is forgotten first."""
 
@@ -86,3 +107,50 @@ class ChunkCache:
             self.memory.turn(sum(map(len, new)))
             self.memory.young.update(new)
         return list(map(b"".join, found))
+
+
+class ChunkTable:
+    """Ids of many texts at once, from those of their chunks; Arrow cuts, looks up and joins.
+
+    A call meets each distinct chunk once. Chunks and their ids are remembered in two arrays, the last used first, up to
+    about ``limit`` bytes. encode is that of ChunkCache.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 32 << 20) -> None:
+        self.encode, self.limit = encode, limit
+        self.chunks, self.values = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in one array, and where each text's ids end. Null is empty."""
+        lists = cut_all(texts.fill_null(""))
+        coded = lists.flatten().dictionary_encode()
+        ends, codes, chunks = lists.offsets.to_numpy()[1:] - lists.offsets[0].as_py(), coded.indices, coded.dictionary.cast(pa.large_string())
+        del lists, coded
+        place = pc.index_in(chunks, self.chunks)
+        new = place.is_null().to_numpy(zero_copy_only=False)
+        place = place.fill_null(0).to_numpy().copy()
+        asked = chunks.filter(pa.array(new)).to_numpy(zero_copy_only=False).tolist()
+        got = self.encode([c[1:] if c[0] == "\n" else " " + c for c in asked]) if asked else []
+        rest = np.ones(len(self.chunks), bool)
+        rest[place[~new]] = False
+        place[new] = len(self.chunks) + np.arange(len(asked))
+        values = pa.concat_arrays([self.values, pa.array(got, pa.large_binary())]).take(pa.array(place))
+        del asked, got
+        self._remember(chunks, values, rest)
+        joined = values.take(codes)
+        _, offsets, data = joined.buffers()
+        ends = np.frombuffer(offsets, np.int64, len(joined) + 1)[ends] // 4
+        return np.frombuffer(data, "<u4", int(ends[-1])) if ends[-1] else np.zeros(0, "<u4"), ends
+
+    def _remember(self, chunks: pa.Array, values: pa.Array, rest: np.ndarray) -> None:
+        """Put chunks before those of the rest, and forget what the limit leaves no room for."""
+        room = np.concatenate([_sizes(chunks, values), _sizes(self.chunks, self.values)[rest]]).cumsum() <= self.limit
+        first, rest[rest] = pa.array(room[: len(chunks)]), room[len(chunks) :]
+        rest = pa.array(rest)
+        self.chunks = pa.concat_arrays([chunks.filter(first), self.chunks.filter(rest)])
+        self.values = pa.concat_arrays([values.filter(first), self.values.filter(rest)])
+
+
+def _sizes(chunks: pa.Array, values: pa.Array) -> np.ndarray:
+    """Bytes that each chunk takes with its ids and both offsets."""
+    return pc.binary_length(chunks).to_numpy() + pc.binary_length(values).to_numpy() + 16

@@ -11,10 +11,12 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
-from sluice.llm import bpe, common, exact, huffman, jaccard, katz, langid, lines, mixing, quality, warc
+from sluice.llm import bpe, common, exact, huffman, jaccard, katz, langid, lines, mixing, quality, tokens, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, taken long, h long, part int"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -381,3 +383,49 @@ def test_long_words_hash_alike():
     texts = [b"a b " + giant + b" c", b"", b"a " * common.PIECE, giant]
     hashes, offsets = common.word_hashes(texts)
     assert np.diff(offsets).tolist() == [4, 0, common.PIECE, 1] and hashes[2] == hashes[-1] and hashes[0] == hashes[4]
+
+
+def test_tokenizing_asks_once_per_distinct_chunk(monkeypatch):
+    """Chunks are looked up and encoded by distinct ones, not by occurrence; ids are the library's for odd white space too."""
+    from tokenizers import Tokenizer
+
+    class Counted:
+        def __getattr__(self, name):
+            return getattr(pc, name)
+
+        def index_in(self, values, known):
+            asked.append(sorted(values.to_pylist()))
+            return pc.index_in(values, known)
+
+    asked, encoded = [], []
+    monkeypatch.setattr(tokens, "pc", Counted())
+    monkeypatch.setattr(huffman, "_made", {})
+    cache = huffman.library_cache(bpe.vocabulary())
+    encode = cache.encode
+    monkeypatch.setattr(cache, "encode", lambda chunks: encoded.extend(chunks) or encode(chunks))
+    for text in ("over and over, over again.", "over and under."):
+        ids, ends = cache.ids(pa.array([text] * 500))
+        assert len(ends) == 500 and ends[-1] == len(ids) and (ids.reshape(500, -1) == ids[: ends[0]]).all()
+    assert asked == [["\nover", "again.", "and", "over", "over,"], ["\nover", "and", "under."]]
+    assert sorted(encoded) == [" again.", " and", " over", " over,", " under.", "over"]
+
+    tok = Tokenizer.from_file(bpe.vocabulary())
+    odd = ["  ", " \n", "\n ", "\n\n", "\0", ".", *map(chr, [9, 11, 12, 13, *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])]
+    texts = [None, "", " ", "\n", "a", ".", " a.", "it's, we'll.", "Straße. über, x2, ²,", "a<|endoftext|> b", *(r[1] for r in ROWS)]
+    texts += [t for s in odd for t in (f"one{s}two, three.", f"{s}one two", f"one two.{s}", f"one {s} two", s)]
+    for some in (texts, texts[:1], texts[1:2], [t for t in texts if t and "  " in t], list(reversed(texts))):
+        for kind in (pa.string(), pa.large_string()):
+            ids, ends = cache.ids(pa.array([None, *some], kind)[1:])
+            want = [tok.encode(t or "", add_special_tokens=False).ids for t in some]
+            assert [x.tolist() for x in np.split(ids, ends)[:-1]] == want
+    cache.limit = 2000
+    for t in texts:  # with next to no memory, and a text larger than all of it
+        assert cache.ids(pa.array([t], pa.string()))[0].tolist() == tok.encode(t or "", add_special_tokens=False).ids
+        assert len(cache.chunks) == len(cache.values) and cache.chunks.nbytes + cache.values.nbytes <= 2016
+
+
+def test_batches_are_tokenized_together():
+    sizes = [3, 0, 2, 1, 4]
+    batches = [pa.record_batch({"doc_id": pa.array(range(n), pa.int64()), "text": ["y" * (huffman.GROUP // 6)] * n}) for n in sizes]
+    assert [b.num_rows for b in huffman._together(iter(batches))] == [5, 5]
+    assert list(huffman._together(iter([]))) == []
