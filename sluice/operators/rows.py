@@ -26,22 +26,22 @@ def in_ranges(df: DataFrame, order: list, name: str = "__p") -> DataFrame:
     """Add the number of each row's range; ranges follow each other in ``order``, and rows of equal order share one.
 
     Splitters come from the rows with the smallest hashes of their order columns: a sample that every run repeats, of a
-    bounded number of rows, and lazy as the rest of the plan. A row finds its range by bisection.
+    bounded number of rows, and lazy as the rest of the plan. They are the value of a sub-query, not a column of each
+    row, and are picked and searched by functions over lists: a plan of the same few expressions for any number of ranges.
     """
-    parts = 1
-    while parts < 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
-        parts *= 2
+    steps = [1]
+    while 2 * steps[0] < 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        steps.insert(0, 2 * steps[0])
+    parts = 2 * steps[0]
     key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(columns(order))])
     sample = df.select(key.alias("k")).withColumn("h", F.xxhash64("k")).orderBy("h", "k").limit(parts * SAMPLE)
-    held = sample.agg(F.sort_array(F.collect_list("k")).alias("__s"))  # one row of parts * SAMPLE order keys
-    place = lambda i: F.greatest(F.floor(F.size("__s") * F.lit(i / parts)), F.lit(1)).cast("int") - 1
-    cuts = held.select(F.array(*[F.get("__s", place(i)) for i in range(1, parts)]).alias("__cuts"))
-    out = df.withColumn("__key", key).crossJoin(F.broadcast(cuts)).withColumn(name, F.lit(0))
-    step = parts // 2
-    while step:
-        out = out.withColumn(name, F.when(F.get("__cuts", F.col(name) + (step - 1)) < F.col("__key"), F.col(name) + step).otherwise(F.col(name)))
-        step //= 2
-    return out.drop("__key", "__cuts")
+    held = sample.agg(F.sort_array(F.collect_list("k")).alias("s"))  # one row of parts * SAMPLE order keys
+    at = lambda i: F.greatest(F.floor(F.size("s") * i / parts), F.lit(1)).cast("int") - 1
+    cuts = held.select(F.transform(F.sequence(F.lit(1), F.lit(parts - 1)), lambda i: F.get("s", at(i)))).scalar()
+
+    right = lambda p, step: F.get("__cuts", p + step - 1) < key
+    found = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda p, step: F.when(right(p, step), p + step).otherwise(p))
+    return df.withColumn("__cuts", cuts).select(*[f"`{c}`" for c in df.columns if c != name], found.alias(name))
 
 
 def carried(ranged: DataFrame, last: list[Column], make: list[Column]) -> DataFrame:
@@ -72,7 +72,7 @@ def sequenced(df: DataFrame, order: list, index: str | None = None, value: Colum
     out = placed.withColumn("__n", number)
     if value is not None:
         out = out.withColumn("__lag", F.lag("__v").over(inside))
-    out = out.join(F.broadcast(ends), F.col("__p") == F.col("__q"))  # a row per range
+    out = out.join(F.broadcast(ends), F.col("__p") == F.col("__q"), "left")  # a row per range; each has one
     if value is not None:
         out = out.withColumn(previous, F.when(F.col("__n") == 1, F.col("__carry.__v")).otherwise(F.col("__lag"))).drop("__v", "__lag", "__carry")
     if index is not None:

@@ -141,6 +141,19 @@ def test_numbers_and_elapsed_over_any_first_column(spark, first):
     assert "Window" in plan and all("count" in line or "k0" in line or "__q" in line or "partial" in line for line in plan.split("\n") if "SinglePartition" in line and "__n" in line)
 
 
+@pytest.mark.parametrize("name", ["tumbling_count"])
+def test_plans_do_not_grow_with_the_ranges(spark, name):
+    """16 times the partitions, and so the ranges, must not make the plan larger: it is what the driver holds."""
+    at, sizes = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in (4, 64):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            sizes.append(len(catalog.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", at)
+    assert sizes[1] < 1.1 * sizes[0]
+
+
 def test_combine_over_ranges(spark):
     """Latest values pass from range to range, over a long stretch without a row of one source."""
     a = spark.createDataFrame([(i, f"a{i}") for i in range(0, 3000) if i < 50 or i > 2900], "ts long, x string")
