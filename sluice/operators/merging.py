@@ -22,28 +22,31 @@ def zip_sources(sources: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
     return reduce(lambda a, b: a.join(b, "__i"), sides).withColumnRenamed("__i", "__index")
 
 
-def combine_latest(sources: dict[str, tuple[DataFrame, str]], partition: list[str] | None = None) -> DataFrame:
-    """A row on each arrival once all sources have one: the latest row of each. sources: name -> (rows, time column).
+def combine_latest(sources: dict[str, tuple[DataFrame, str, list[str]] | tuple[DataFrame, str]], partition: list[str] | None = None) -> DataFrame:
+    """A row on each arrival once all sources have one: the latest row of each. sources: name -> (rows, time column, columns
+    of arrival that order rows of one time).
 
     Without a partition column the latest values run over one ordered sequence, in ranges that hand over the latest row
     of each source; with one, over each key's.
     """
     names, keys = list(sources), partition or []
-    parts = []
-    for k, (name, (df, at)) in enumerate(sources.items()):
+    parts, by = [], ["__at", "__source"]
+    for k, (name, (df, at, *then)) in enumerate(sources.items()):
         row = row_of(df)
-        parts.append(df.select(*keys, F.col(at).alias("__at"), F.lit(k).alias("__source"), row.alias(name)))
+        ties = {f"__t{k}_{i}": c for i, c in enumerate(then[0] if then else [])}  # null in the rows of other sources
+        parts.append(df.select(*keys, F.col(at).alias("__at"), F.lit(k).alias("__source"), row.alias(name), *[F.col(f"`{c}`").alias(t) for t, c in ties.items()]))
+        by += ties
     both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     if not keys:
-        both = in_ranges(both, ["__at", "__source"])
-    w = W.partitionBy(*(keys or ["__p"])).orderBy("__at", "__source").rowsBetween(W.unboundedPreceding, W.currentRow)
+        both = in_ranges(both, by)
+    w = W.partitionBy(*(keys or ["__p"])).orderBy(*by).rowsBetween(W.unboundedPreceding, W.currentRow)
     latest = [F.last(n, ignorenulls=True).over(w).alias(n) for n in names]
     if keys:
         out = both.select(*keys, "__at", "__source", *latest)
     else:
-        at = F.struct("__at", "__source")
+        at = F.struct(*by)
         ends = carried(both, [F.max_by(n, F.when(F.col(n).isNotNull(), at)).alias(n) for n in names], [F.last(n, ignorenulls=True).over(before()).alias(f"__b{k}") for k, n in enumerate(names)])
-        inside = both.select("__p", "__at", "__source", *latest).join(F.broadcast(ends), F.col("__p") == F.col("__q"))  # a row per range
+        inside = both.select("__p", "__at", "__source", *latest).join(F.broadcast(ends), F.col("__p") == F.col("__q"), "left")  # a row per range; each has one
         out = inside.select("__at", "__source", *[F.coalesce(n, f"__b{k}").alias(n) for k, n in enumerate(names)])
     return out.where(reduce(lambda a, b: a & b, [F.col(n).isNotNull() for n in names]))
 

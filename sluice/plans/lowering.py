@@ -454,7 +454,7 @@ class Lowering:
             return self.bound(alias, Result(df.withColumnRenamed("__index", "__ord"), ["__ord"]))
         if s.name == "combine":
             parts = {x.alias or f"${i}": self.named(x) for i, x in enumerate(s.args)}
-            df = M.combine_latest({n: (r.df, r.time or r.order[0]) for n, r in parts.items()})
+            df = M.combine_latest({n: (r.df, at := r.time or r.order[0], [c for c in r.order if c != at and c in r.df.columns]) for n, r in parts.items()})
             return self.bound(alias, Result(df, ["__at", "__source"], "__at"))
         if s.name == "merge_by_key":
             return self.merge(s, alias)

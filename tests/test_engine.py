@@ -141,7 +141,7 @@ def test_numbers_and_elapsed_over_any_first_column(spark, first):
     assert "Window" in plan and all("count" in line or "k0" in line or "__q" in line or "partial" in line for line in plan.split("\n") if "SinglePartition" in line and "__n" in line)
 
 
-@pytest.mark.parametrize("name", ["tumbling_count"])
+@pytest.mark.parametrize("name", ["tumbling_count", "combine_latest"])
 def test_plans_do_not_grow_with_the_ranges(spark, name):
     """16 times the partitions, and so the ranges, must not make the plan larger: it is what the driver holds."""
     at, sizes = spark.conf.get("spark.sql.shuffle.partitions"), []
@@ -167,6 +167,19 @@ def test_combine_over_ranges(spark):
     assert got == want
 
 
+def test_combine_orders_rows_of_one_time(spark, engine):
+    """Rows of equal time follow the other columns of arrival, inside a range and from one to the next."""
+    data = [(i, i // 40, "ab"[i % 2]) for i in range(800)]
+    engine.register("same_time", spark.createDataFrame(data, "id long, ts long, kind string").orderBy(F.desc("id")), order_by=["ts", "id"])
+    got = engine.sql("select a.id x, b.id y from combine((select ts, id from same_time where kind = 'a') a, (select ts, id from same_time where kind = 'b') b) c").collect()
+    want, last = [], {}
+    for i, _, kind in sorted(data, key=lambda r: (r[1], r[2], r[0])):
+        last[kind] = i
+        if len(last) == 2:
+            want.append((last["a"], last["b"]))
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 @pytest.mark.parametrize("text", ["delete from t", "select from t", "select nope(1)", "select x from t", "select this from missing", "select regexp_like('a', '(a+)+b')", "select time_bucket('0s', 1)", "select this from t limit -1", "select json_get('{}', '$..a')"])
 def test_diagnostics(engine, text):
     with pytest.raises(QueryError):
