@@ -141,7 +141,7 @@ def test_numbers_and_elapsed_over_any_first_column(spark, first):
     assert "Window" in plan and all("count" in line or "k0" in line or "__q" in line or "partial" in line for line in plan.split("\n") if "SinglePartition" in line and "__n" in line)
 
 
-@pytest.mark.parametrize("name", ["tumbling_count", "combine_latest", "merge_order_desc", "property_paths", "row_index_elapsed", "sliding_count", "trace_in_group", "zip_two"])
+@pytest.mark.parametrize("name", ["tumbling_count", "combine_latest", "merge_order_desc", "property_paths", "row_index_elapsed", "sliding_count", "trace_in_group", "zip_two", "window_sort"])
 def test_plans_do_not_grow_with_the_ranges(spark, name):
     """16 times the partitions, and so the ranges, must not make the plan larger: it is what the driver holds."""
     at, sizes = spark.conf.get("spark.sql.shuffle.partitions"), []
