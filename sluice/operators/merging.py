@@ -54,8 +54,6 @@ def combine_latest(sources: dict[str, tuple[DataFrame, str, list[str]] | tuple[D
 #: Names of modes; fixed values of the dialect.
 MODES = {m: m for m in ("inner", "left", "right", "full")} | {"left_outer": "left", "right_outer": "right", "outer": "full", "full_outer": "full"}
 DUPLICATES = {"error", "zip", "cartesian", "array", "list"}
-#: Rows of a key that a source may have, unless the query says otherwise.
-MAX_ROWS = 1024
 
 
 def merge_by_key(
@@ -64,7 +62,7 @@ def merge_by_key(
 ) -> DataFrame:
     """Merge sources on one key. mode: keys of all, the first, the last or any source. duplicates: an error, i-th with
     i-th, the product, or lists. Equal columns of several sources collapse; a later, different value stands in
-    ``source.column``. A null key is an error."""
+    ``source.column``. A null key is an error, and so are more than max_rows rows of a key in a source, if given."""
     if mode not in MODES or duplicates not in DUPLICATES:
         raise QueryError("invalid_option", f"no mode {mode} with duplicates {duplicates}")
     mode, names = MODES[mode], list(sources)

@@ -511,8 +511,9 @@ class Lowering:
             hidden = [c for c in df.columns if c.startswith("__") and c != "__ord"]
             frames[n] = df.drop(*hidden)
             order[n] = [c for c in r.order if c in frames[n].columns and c != key] or [c for c in frames[n].columns if c != key]
-        if options.get("duplicates", "error") != "error":
-            options.setdefault("max_rows", int(self.settings.get("merge_by_key.maxRowsPerKey", M.MAX_ROWS)))
+        most = self.settings.get("merge_by_key.maxRowsPerKey")
+        if options.get("duplicates", "error") != "error" and most is not None:
+            options.setdefault("max_rows", int(most))
         df = M.merge_by_key(frames, key, order=order, **options)
         df = df.drop(*[c for c in df.columns if c.endswith("__ord")])
         if down and isinstance(df.schema[key].dataType, T.NumericType):

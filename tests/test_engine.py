@@ -122,6 +122,22 @@ def test_merge_checks_its_sources(spark, engine):
         engine.sql("select ts from merge_by_key('ts', f1, many, 'zip', 5)").collect()
 
 
+@pytest.mark.parametrize("how,count", [("array", 1)])
+def test_merge_takes_every_row_of_a_key(spark, how, count):
+    """No cap on the rows of a key unless the query or a setting gives one."""
+    e = Engine(spark).register("few", spark.createDataFrame([(1, "a"), (1, "b")], "k int, x string"))
+    e.register("many", spark.range(1500).selectExpr("1 k", "id y"), order_by=["k", "y"])
+    text = f"select * from merge_by_key('k', few, many, 'full', '{how}')"
+    got = e.sql(text).collect()
+    assert len(got) == count
+    if how == "array":
+        assert [r.y for r in got[0].many] == list(range(1500)) and [r.x for r in got[0].few] == ["a", "b"]
+    else:
+        assert {r.y for r in got} == set(range(1500))
+    with pytest.raises(Exception, match="over 1024 rows"):
+        e.sql(text, **{"merge_by_key.maxRowsPerKey": 1024}).collect()
+
+
 @pytest.mark.parametrize("first", ["constant", "outlier", "texts", "nulls"])
 def test_numbers_and_elapsed_over_any_first_column(spark, first):
     """Ranges follow all order columns; no plan sends rows to a single partition."""
