@@ -122,7 +122,7 @@ def test_merge_checks_its_sources(spark, engine):
         engine.sql("select ts from merge_by_key('ts', f1, many, 'zip', 5)").collect()
 
 
-@pytest.mark.parametrize("how,count", [("array", 1), ("cartesian", 3000)])
+@pytest.mark.parametrize("how,count", [("array", 1), ("cartesian", 3000), ("zip", 1500)])
 def test_merge_takes_every_row_of_a_key(spark, how, count):
     """No cap on the rows of a key unless the query or a setting gives one."""
     e = Engine(spark).register("few", spark.createDataFrame([(1, "a"), (1, "b")], "k int, x string"))
